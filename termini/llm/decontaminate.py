@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, whole_text
@@ -154,18 +155,22 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the rows whose text overlaps an item; no row is shuffled."""
     for block in blocks(benchmark):
-        sent = documents.sparkSession.sparkContext.broadcast(block)
+        documents = documents.where(_free_of(documents.sparkSession.sparkContext.broadcast(block))("text"))
+    return documents
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, sent=sent) -> pd.Series:
-            ok = np.ones(len(texts), bool)
-            whole = texts.fillna("").tolist()
-            for at in range(0, len(whole), 256):
-                ok[[at + f[0] for f in sent.value.overlaps(whole[at : at + 256])]] = False
-            return pd.Series(ok)
 
-        documents = documents.where(clean("text"))
-    return documents
+def _free_of(sent: Broadcast) -> Callable[..., Column]:
+    """A predicate on texts: no overlap with the block of items."""
+
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        ok = np.ones(len(texts), bool)
+        whole = [t or "" for t in texts.tolist()]
+        for at in range(0, len(whole), 256):
+            ok[[at + f[0] for f in sent.value.overlaps(whole[at : at + 256])]] = False
+        return pd.Series(ok)
+
+    return free
 
 
 op10 = overlaps
