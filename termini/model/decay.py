@@ -1,7 +1,5 @@
 """Expected relative coverage near a molecule's end, for fixed and lognormal fragment lengths."""
 
-from __future__ import annotations
-
 import math
 from dataclasses import dataclass
 
@@ -21,10 +19,13 @@ def normal_cdf(x: float) -> float:
     return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
-def normal_cdf_column(x: pd.Series) -> pd.Series:
+def normal_cdf_column(x: Column) -> Column:
     """Exact; Spark has no error function."""
-    return x.map(normal_cdf)
+
+    def exact(values: pd.Series) -> pd.Series:
+        return values.map(normal_cdf)
+
+    return F.pandas_udf(exact, "double")(x)
 
 
 @dataclass(frozen=True)
