@@ -78,14 +78,14 @@ class Encoder:
 
 
 def train_dictionary(documents: DataFrame, path: str) -> bytes:
-    """A dictionary from SAMPLE_DOCS documents of SAMPLE_CHARS at most, those with the smallest hashes. It only affects the
-    size of the files. Empty where there is too little to train on."""
+    """A dictionary from about SAMPLE_DOCS documents of SAMPLE_CHARS at most, chosen by hash so that no more than these
+    reach the driver. It only affects the size of the files. Empty where there is too little to train on."""
     import zstandard
 
-    texts = documents.select("doc_id", whole_text().alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    texts = [r.text for r in texts.orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCS).collect()]
+    chance = min(1.0, SAMPLE_DOCS / max(documents.count(), 1))
+    rows = documents.select(whole_text().alias("text")).where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < chance * (1 << 32)))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, Encoder.at(path).encode(texts), level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, Encoder.at(path).encode(sorted(r.text for r in rows.collect())), level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b""
 
