@@ -1 +1 @@
-
+"""File sources: SAM text, BAM, contig index, FASTA, exclusion lists."""
