@@ -94,11 +94,12 @@ def _mentions(text: Column, spans: Column) -> Column:
         left = F.concat(F.when(low > 0, "x").otherwise(" "), F.substring(text, low + 1, span["start"] - low), F.lit(" "))
         high = F.least(span["end"] + WINDOW, F.length(text))
         right = F.concat(F.lit(" "), F.substring(text, span["end"] + 1, high - span["end"]), F.when(high < F.length(text), "x").otherwise(" "))
-        sides = []
-        for side, base in ((left, low - 1), (right, span["end"] - 1)):  # a word that the window's edge cuts touches the x there
-            whole = F.filter(_matches(side, 4, TERM, F.lit(True)), lambda s, side=side: (s["start"] > 0) & (s["end"] < F.length(side)))
-            sides.append(F.transform(whole, lambda s, base=base: F.struct(entity.alias("entity"), F.xxhash64(F.lower(s["value"])).alias("term"), (s["start"] + base).alias("start"), (s["end"] + base).alias("end"))))
-        return F.concat(*sides)
+
+        def terms(side: Column, base: Column) -> Column:  # a word that the window's edge cuts touches the x there
+            whole = F.filter(_matches(side, 4, TERM, F.lit(True)), lambda s: (s["start"] > 0) & (s["end"] < F.length(side)))
+            return F.transform(whole, lambda s: F.struct(entity.alias("entity"), F.xxhash64(F.lower(s["value"])).alias("term"), (s["start"] + base).alias("start"), (s["end"] + base).alias("end")))
+
+        return F.concat(terms(left, low - 1), terms(right, span["end"] - 1))
 
     terms = F.flatten(F.transform(spans, around))
     return F.filter(terms, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
