@@ -40,7 +40,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxh64_intdigest(word.encode())
         return value

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from .common import whole_text
 
 MARK = "▁"
-KEPT, LONG, BLOCK, ROWS = 1_500_000, 64, 512, 4096
+KEPT, LONG, BLOCK, ROWS = 400_000, 64, 512, 4096  # KEPT: words in each of a worker's two generations, 50 MB each
+PAIRS, NEW = 2_000_000, 16_384  # verdicts kept in a worker, 9 bytes each; of them, in a dict until they are sorted in
 FACTOR = 0x9E3779B97F4A7C15
 NONE = -1
 
@@ -112,8 +113,10 @@ class Pieces:
             self.tables[size] = (key[order], letters[order], np.array([i for _, i in rows])[order])
         self.power = np.array([pow(FACTOR, k, 1 << 64) for k in range(max(self.tables) + 1)], "u8")
         self.inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
-        self.allowed: dict[int, bool] = {}
+        self.pair, self.verdict = np.zeros(0, "i8"), np.zeros(0, bool)  # by pair
+        self.new: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _prefixes(letters: np.ndarray) -> np.ndarray:
@@ -155,8 +158,13 @@ class Pieces:
         key = (a.astype("i8") + 1) * len(self.pieces) + b
         distinct, back = np.unique(key, return_inverse=True)
         found = np.zeros(len(distinct), bool)
-        for k, x in enumerate(distinct.tolist()):
-            ok = self.allowed.get(x)
+        at = np.searchsorted(self.pair, distinct)
+        seen = at < len(self.pair)
+        seen[seen] = self.pair[at[seen]] == distinct[seen]
+        found[seen] = self.verdict[at[seen]]
+        for k in np.flatnonzero(~seen).tolist():
+            x = int(distinct[k])
+            ok = self.new.get(x)
             if ok is None:
                 left, right = x // len(self.pieces) - 1, x % len(self.pieces)
                 if self.unknown in (left, right):
@@ -164,12 +172,20 @@ class Pieces:
                 else:
                     head = self.pieces[left][0] if left >= 0 else ""
                     ok = self._merged(head + self.pieces[right][0], len(head))
-                if len(self.allowed) > 4 * KEPT:
-                    self.allowed.clear()
-                self.allowed[x] = ok
+                self.new[x] = ok
             found[k] = ok
+        if len(self.new) > NEW:
+            self._sort_in()
         return found[back]
 
+    def _sort_in(self) -> None:
+        """Moves new verdicts into the sorted arrays, which start afresh when full."""
+        pair, verdict = np.fromiter(self.new, "i8", len(self.new)), np.fromiter(self.new.values(), bool, len(self.new))
+        if len(self.pair) + len(pair) <= PAIRS:
+            pair, verdict = np.concatenate([self.pair, pair]), np.concatenate([self.verdict, verdict])
+        order = np.argsort(pair, kind="stable")
+        self.pair, self.verdict, self.new = pair[order], verdict[order], {}
+
     def _search(self, words: list[str]) -> list[list[int]]:
         """The best pieces of words of one length, `unknown` for a character without a piece."""
         n, size = len(words), len(words[0])
@@ -255,10 +271,12 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text."""
         split = [self.split(t) for t in texts]
-        fresh = list(set().union(*split).difference(self.words))
-        if len(self.words) + len(fresh) > KEPT:
-            self.words.clear()
-            fresh = list(set().union(*split))
+        if len(self.words) > KEPT:  # words that do not come again are forgotten
+            self.older, self.words = self.words, {}
+        fresh = set().union(*split).difference(self.words)
+        again = fresh.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in again)
+        fresh = list(fresh - again)
         if fresh:
             self._learn(fresh)
         out = [np.frombuffer(b"".join(map(self.words.__getitem__, x)), "<u4") for x in split]
