@@ -284,7 +284,8 @@ def deduplicated(documents: DataFrame, words: int = WORDS, most: int = D) -> Dat
     repeat this doc_id are copies too; of them one row stays. Rows with null doc_id stay only where their component has no id."""
     rows = clustered(documents, words, most)
     keep = stored(rows.groupBy("component_id").agg(F.count(F.when(same(F.col("doc_id"), F.col("component_id")), 1)).alias("n")).select(F.col("component_id").alias("__keep"), "n"), "kept")
-    kept = documents.join(keep.select("__keep"), same(F.col("doc_id"), F.col("__keep")), "left_semi")
+    # a row for each component: the ids grow with the documents, so they are sorted, not broadcast, at every size
+    kept = documents.join(keep.select("__keep").hint("merge"), same(F.col("doc_id"), F.col("__keep")), "left_semi")
     if keep.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept
