@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -208,13 +209,11 @@ class Pieces:
                 row = row[(spelt[at[row]] == letters[row, start:end]).all(axis=1)]
                 if len(row):
                     self._arrive(score, piece, back, row, start, end, ids[at[row]])
-        out: list[list[int]] = [[] for _ in range(n)]
-        place = np.full(n, size)
-        while (place > 0).any():  # all words walk back together
-            for k in np.flatnonzero(place > 0).tolist():
-                out[k].append(int(piece[place[k], k]))
-            place = np.where(place > 0, back[place, np.arange(n)], 0)
-        return [x[::-1] for x in out]
+        steps, place, word = [], np.full(n, size), np.arange(n)
+        while place.any():  # all words walk back together; at place 0 a word stays there, without a piece
+            steps.append(piece[place, word])
+            place = back[place, word]
+        return [[i for i in x if i != NONE] for x in np.array(steps[::-1]).T.tolist()]
 
     def _arrive(self, score: np.ndarray, piece: np.ndarray, back: np.ndarray, row: np.ndarray, start: int, end: int, ids: np.ndarray) -> None:
         """Takes the step to end where it is allowed and better than what is known."""
@@ -253,7 +252,7 @@ class Pieces:
                         else:
                             out.append(i)
                             k += len(self.pieces[i][0])
-                    found[part] = np.array(out, "<u4").tobytes()
+                    found[part] = array("I", out).tobytes()
         for word, cut in zip(words, parts, strict=True):
             self.words[word] = b"".join(map(found.__getitem__, cut))
 
