@@ -69,7 +69,7 @@ def dry_run(planned: DataFrame) -> DataFrame:
 
 
 def apply_extensions(planned: DataFrame, sequences: DataFrame) -> DataFrame:
-    """contig, contig_ord, original_length, extended (the sequence), final_length, net_gain, status.
+    """contig, contig_ord, original_length, extended (the sequence), final_length, net_gain, left_gain, right_gain, status.
 
     Left first, then right on the result, so that overlapping trims on tiny contigs work as one after the other. A side
     that would not make the contig longer is not applied. Contigs without a sequence are left out."""
@@ -83,7 +83,20 @@ def apply_extensions(planned: DataFrame, sequences: DataFrame) -> DataFrame:
     right_ok = F.col("right_read").isNotNull() & (F.length(right) > F.length("after_left"))
     rows = rows.withColumn("extended", F.when(right_ok, right).otherwise(F.col("after_left")))
     status = F.when(left_ok & right_ok, "both").when(left_ok, "left").when(right_ok, "right").otherwise("no")
-    return rows.select("contig", "contig_ord", size.cast("long").alias("original_length"), "extended", F.length("extended").cast("long").alias("final_length"), (F.length("extended") - size).cast("long").alias("net_gain"), status.alias("status"))
+    return rows.select("contig", "contig_ord", size.cast("long").alias("original_length"), "extended", F.length("extended").cast("long").alias("final_length"), (F.length("extended") - size).cast("long").alias("net_gain"), (F.length("after_left") - size).cast("long").alias("left_gain"), (F.length("extended") - F.length("after_left")).cast("long").alias("right_gain"), status.alias("status"))
+
+
+def gains(planned: DataFrame, applied: DataFrame | None = None) -> DataFrame:
+    """What each contig's extension did: lengths, gain, trim and read of both ends, status. Without applied: what it would do."""
+    if applied is None:
+        known = {f"{s}_gain": F.when(F.col(f"{s}_read").isNull(), F.lit(0).cast("long")).otherwise(F.col(f"{s}_clip_length") - F.col(f"{s}_trim")) for s in ("left", "right")}
+        rows = planned.withColumns(known).withColumns({"original_length": F.col("contig_length"), "final_length": F.col("contig_length") + F.col("left_gain") + F.col("right_gain")})
+    else:
+        rows = planned.drop("contig_ord").join(applied.drop("extended", "net_gain", "status"), "contig")
+    both = (F.col("left_gain") > 0, F.col("right_gain") > 0)
+    status = F.when(both[0] & both[1], "both").when(both[0], "left").when(both[1], "right").otherwise("no")
+    cut = lambda s: F.when(F.col(f"{s}_gain") > 0, F.col(f"{s}_trim")).otherwise(0).cast("long").alias(f"{s}_trim")
+    return rows.select("contig", "contig_ord", "original_length", "final_length", "left_gain", "right_gain", "left_read", "right_read", cut("left"), cut("right"), status.alias("status"))
 
 
 def assembly(applied: DataFrame, contigs: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -94,19 +107,22 @@ def assembly(applied: DataFrame, contigs: DataFrame, sequences: DataFrame) -> Da
 
 
 def terminal_counts(sequences: DataFrame, column: str, patterns: dict[str, str], window: int, halve: bool, upper: bool) -> DataFrame:
-    """contig, end, motif, n in the windows at both ends. Before an extension the window stops at the contig's middle and
-    case is ignored; after it, neither."""
+    """contig, end, window, motif, n in the windows at both ends. Before an extension the window stops at the contig's middle
+    and case is ignored; after it, neither, and the bases added at an end (left_gain, right_gain) widen its window."""
     w = F.least(F.lit(window), F.floor(F.length(column) / 2).cast("int")) if halve else F.lit(window)
-    rows = sequences.withColumn("w", w).where("w > 0")
-    ends = F.array(*[F.struct(F.lit(e).alias("end"), (F.upper(cut) if upper else cut).alias("part")) for e, cut in (("L", F.left(column, F.col("w"))), ("R", F.right(column, F.col("w"))))])
-    rows = rows.select("contig", F.explode(ends).alias("e")).select("contig", "e.end", F.explode(M.counts(F.col("e.part"), patterns)).alias("c"))
-    return rows.select("contig", "end", "c.motif", "c.n")
+    wide = lambda gain: w if halve else (w + F.col(gain)).cast("int")
+    windows = (("L", F.left, wide("left_gain")), ("R", F.right, wide("right_gain")))
+    part = lambda cut, w: F.upper(cut(column, w)) if upper else cut(column, w)
+    ends = F.array(*[F.struct(F.lit(e).alias("end"), w.alias("window"), part(cut, w).alias("part")) for e, cut, w in windows])
+    rows = sequences.select("contig", F.explode(ends).alias("e")).where("e.window > 0")
+    rows = rows.select("contig", "e.end", "e.window", F.explode(M.counts(F.col("e.part"), patterns)).alias("c"))
+    return rows.select("contig", "end", "window", "c.motif", "c.n")
 
 
 def motif_gain(before: DataFrame, after: DataFrame) -> DataFrame:
-    rows = after.select("contig", "end", "motif", F.col("n").alias("post")).join(before.select("contig", "end", "motif", F.col("n").alias("pre")), ["contig", "end", "motif"], "left")
+    rows = after.select("contig", "end", "motif", "window", F.col("n").alias("post")).join(before.select("contig", "end", "motif", F.col("n").alias("pre")), ["contig", "end", "motif"], "left")
     pre = F.coalesce("pre", F.lit(0).cast("long"))
-    return rows.select("contig", "end", "motif", pre.alias("pre"), "post", (F.col("post") - pre).alias("gain"))
+    return rows.select("contig", "end", "motif", "window", pre.alias("pre"), "post", (F.col("post") - pre).alias("gain"))
 
 
 def overhang_log(overhangs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from ..model import decay
 from ..operators import classify as K
 from ..operators import extend as X
 from ..operators import stats as S
-from .derived import alignments, contigs, sequences, sql_prefix
+from ..report import layout
+from .derived import LETTERS, NUMBERS, alignments, contigs, sequences, sql_prefix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -359,8 +360,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 def _windows(source: str, column: str, halve: bool, upper: bool) -> str:
     w = f"least({WINDOW}, length({column}) // 2)" if halve else str(WINDOW)
-    cut = lambda side: f"upper({side}({column}, {w}))" if upper else f"{side}({column}, {w})"
-    return " UNION ALL ".join(f"SELECT contig, '{e}' AS \"end\", '{m}' AS motif, {count_sql(cut(side), p)} AS n FROM {source}" for e, side in (("L", "left"), ("R", "right")) for m, p in EXACT.items())
+    added = {"left": "length(w1) - length(seq)", "right": "length(ext) - length(w1)"}
+    width = lambda side: w if halve else f"({w} + {added[side]})"
+    cut = lambda side: f"upper({side}({column}, {width(side)}))" if upper else f"{side}({column}, {width(side)})"
+    return " UNION ALL ".join(f"SELECT contig, '{e}' AS \"end\", ({width(side)})::INT AS \"window\", '{m}' AS motif, {count_sql(cut(side), p)} AS n FROM {source}" for e, side in (("L", "left"), ("R", "right")) for m, p in EXACT.items())
 
 
 @query("terminal_motifs_pre", _windows("sequences", "seq", True, True))
@@ -373,7 +376,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return X.terminal_counts(applied(s, d), "extended", EXACT, WINDOW, False, False)
 
 
-@query("motif_gain", _BEST + f", a AS ({_windows('ap', 'ext', False, False)}), b AS ({_windows('sequences', 'seq', True, True)}) SELECT contig, a.\"end\", motif, coalesce(b.n, 0) AS pre, a.n AS post, a.n - coalesce(b.n, 0) AS gain FROM a LEFT JOIN b USING (contig, \"end\", motif)")
+@query("motif_gain", _BEST + f", a AS ({_windows('ap', 'ext', False, False)}), b AS ({_windows('sequences', 'seq', True, True)}) SELECT contig, a.\"end\", motif, a.\"window\", coalesce(b.n, 0) AS pre, a.n AS post, a.n - coalesce(b.n, 0) AS gain FROM a LEFT JOIN b USING (contig, \"end\", motif)")
 def _(s: SparkSession, d: str) -> DataFrame:
     after = X.terminal_counts(applied(s, d), "extended", EXACT, WINDOW, False, False)
     return X.motif_gain(X.terminal_counts(sequences(s, d), "seq", EXACT, WINDOW, True, True), after)
@@ -402,6 +405,24 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return X.insertion_columns(X.placed_insertions(overhangs(s, d)))
 
 
+@query(
+    "placed_bases",
+    PREFIX + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contig, "end" ORDER BY net_gain DESC, clip_length DESC, pos, qname) AS place FROM overhangs) WHERE place <= 25),
+    wide AS (SELECT *, greatest(1, least(contig_length, 2000, greatest(500, max(anchor) OVER (PARTITION BY contig, "end")))) AS span, CASE WHEN "end" = 'L' THEN 1 ELSE contig_length END AS origin FROM top),
+    cut AS (SELECT *, """ + NUMBERS + """ AS n, """ + LETTERS + """ AS o, CASE WHEN "end" = 'L' THEN origin ELSE origin - span + 1 END AS lo, CASE WHEN "end" = 'L' THEN origin + span - 1 ELSE origin END AS hi FROM wide),
+    op AS (SELECT *, n[k] AS len, o[k] AS letter,
+        coalesce(list_sum(list_transform(list_filter(list_zip(n, o)[1:k - 1], lambda z: z[2] IN ('M', 'I', 'S', '=', 'X')), lambda z: z[1])), 0)::BIGINT AS rd,
+        pos + coalesce(list_sum(list_transform(list_filter(list_zip(n, o)[1:k - 1], lambda z: z[2] IN ('M', 'D', 'N', '=', 'X')), lambda z: z[1])), 0)::BIGINT AS rf
+        FROM (SELECT *, unnest(generate_series(1, len(n))) AS k FROM cut)),
+    step AS (SELECT *, unnest(generate_series(0::BIGINT, len - 1)) AS j FROM op)
+    SELECT contig, "end", qname, pos, rf + j - origin AS off, 0 AS ins, substr(seq, rd + j + 1, 1) AS base, 'anchor' AS kind FROM step WHERE letter IN ('M', '=', 'X') AND rf + j BETWEEN lo AND hi
+    UNION ALL SELECT contig, "end", qname, pos, rf - 1 - origin, (j + 1)::INT, substr(seq, rd + j + 1, 1), 'anchor' FROM step WHERE letter = 'I' AND rf - 1 BETWEEN lo AND hi
+    UNION ALL SELECT contig, "end", qname, pos, (CASE WHEN "end" = 'L' THEN pos - origin - length(clip_seq) ELSE aln_end - origin + 1 END + i)::BIGINT, 0, substr(clip_seq, i + 1, 1), 'clip' FROM (SELECT *, unnest(generate_series(0::BIGINT, length(clip_seq) - 1)) AS i FROM cut)""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return layout.cells(X.top_reads(overhangs(s, d)))
+
+
 # --- decay model ----------------------------------------------------------------------------------------------------
 @query("decay_fixed", "SELECT 0 AS z FROM (SELECT 0)".replace("SELECT 0 AS z FROM (SELECT 0)", "SELECT 0 + x AS x, round(least(x + 1, 8000) / 8000.0::DOUBLE, 9) AS c FROM generate_series(0::BIGINT, 9999::BIGINT) t(x)"))
 def _(s: SparkSession, d: str) -> DataFrame:

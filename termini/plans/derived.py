@@ -46,8 +46,8 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _C = CONTIGS.format(nation="nation")
-_N = "list_transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1), lambda x: x::BIGINT)"
-_O = "regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2)"
+NUMBERS = "list_transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 1), lambda x: x::BIGINT)"
+LETTERS = "regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 2)"
 
 
 def _sum(codes: str) -> str:
@@ -62,7 +62,7 @@ def sql_prefix(max_break: int = 50, min_clip: int = 1, min_anchor: int = 100) ->
 WITH contigs AS ({_C}),
 sequences AS ({SEQUENCES.format(contigs="SELECT * FROM contigs")}),
 aln AS ({ALIGNMENTS.format(lineitem="lineitem", contigs="SELECT * FROM contigs")}),
-ops AS (SELECT aln.*, contig_length, contig_ord, {_N} AS n, {_O} AS o FROM aln JOIN contigs ON rname = contig),
+ops AS (SELECT aln.*, contig_length, contig_ord, {NUMBERS} AS n, {LETTERS} AS o FROM aln JOIN contigs ON rname = contig),
 geo AS (SELECT *, {_sum("MDN=X")} AS span, {_sum("M=X")} AS anchor, CASE WHEN o[1] = 'S' THEN n[1] ELSE 0 END AS left_clip, CASE WHEN len(o) > 1 AND o[-1] = 'S' THEN n[-1] ELSE 0 END AS right_clip, cigar LIKE '%S%' AND cigar NOT LIKE '%H%' AS shape FROM ops),
 gaps AS (SELECT *, (pos + span - 1)::BIGINT AS aln_end, (pos - 1)::BIGINT AS gap_left, (contig_length - (pos + span - 1))::BIGINT AS gap_right FROM geo),
 calls AS (SELECT *, CASE WHEN flag & 4 <> 0 THEN 'unmapped' WHEN flag & 256 <> 0 THEN 'secondary' WHEN NOT shape THEN 'no_clip' WHEN anchor < {min_anchor} THEN 'min_anchor' WHEN left_reason IS NULL OR right_reason IS NULL THEN 'kept'
