@@ -99,6 +99,13 @@ def gains(planned: DataFrame, applied: DataFrame | None = None) -> DataFrame:
     return rows.select("contig", "contig_ord", "original_length", "final_length", "left_gain", "right_gain", "left_read", "right_read", cut("left"), cut("right"), status.alias("status"))
 
 
+def grafted(planned: DataFrame, sequences: DataFrame) -> DataFrame:
+    """What a dry run counts motifs in: clips beside the untrimmed contig, with the gains of both ends."""
+    known = gains(planned).select("contig", "left_gain", "right_gain")
+    rows = planned.select("contig", "left_clip", "right_clip").join(sequences.select("contig", "seq"), "contig").join(known, "contig")
+    return rows.select("contig", F.concat("left_clip", "seq", "right_clip").alias("extended"), "left_gain", "right_gain")
+
+
 def assembly(applied: DataFrame, contigs: DataFrame, sequences: DataFrame) -> DataFrame:
     """Every contig with a sequence, extended or as it was, in contig order."""
     done = applied.select("contig", "extended")
