@@ -284,7 +284,10 @@ def deduplicated(documents: DataFrame, words: int = WORDS, most: int = D) -> Dat
     repeat this doc_id are copies too; of them one row stays. Rows with null doc_id stay only where their component has no id."""
     rows = clustered(documents, words, most)
     keep = stored(rows.groupBy("component_id").agg(F.count(F.when(same(F.col("doc_id"), F.col("component_id")), 1)).alias("n")).select(F.col("component_id").alias("__keep"), "n"), "kept")
-    kept = documents.join(keep.select("__keep"), same(F.col("doc_id"), F.col("__keep")), "left_semi")
+    # the ids to drop: copies are fewer than documents, so their ids are what Spark may find small enough to broadcast
+    copies = rows.where(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
+    drop = stored(copies.join(keep.select("__keep"), same(F.col("__drop"), F.col("__keep")), "left_anti"), "dropped")
+    kept = documents.join(drop, same(F.col("doc_id"), F.col("__drop")), "left_anti")
     if keep.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept

@@ -236,3 +236,13 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and len({r.doc_id for r in out}) == len(out) and all(r.decoded is not None for r in out)
     assert not any("@" in r.decoded and re.search(r"[\w.]+@[\w-]+\.\w", r.decoded) for r in out)
+
+
+def test_deduplicated_with_null_and_repeated_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    other = "a wholly different row of words that shares nothing with them"
+    rows = [(2, text, "x"), (1, text, "y"), (1, text, "y"), (None, text, "z"), (5, other, "x"), (None, "null ids alone are kept as one row here", "x")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert kept.columns == ["doc_id", "text", "source"] and {r.doc_id for r in kept.collect()} >= {1, 5} and 2 not in {r.doc_id for r in kept.collect()}
+    assert sum(r.doc_id == 1 for r in kept.collect()) == 1
+    assert simhash.deduplicated(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
