@@ -1,13 +1,14 @@
 """Personal data: exact base patterns, and terms that reveal them, judged by corpus co-occurrence.
 
 Built-in functions only. Base matches (email, ip, card, phone) are protected entities. For each entity c and each term t
-in a window of characters around a mention of c, the corpus gives n(c), n(t) (documents with them) and n(t,c) (documents
-with t in a window of c). The share of the entity's information that the term discloses is
+of a document with c, the corpus gives n(c), n(t) (documents with them) and n(t,c) (documents with both). The share of the
+entity's information that the term discloses is
 
     PMI(t;c) / IC(c) = log2(N n(t,c) / (n(t) n(c))) / log2(N / n(c))
 
-A term that reaches GENERALISE is replaced by a general tag, one that reaches REMOVE is removed, in the windows of the
-entity's mentions. Documents without an entity are never changed.
+A term that reaches GENERALISE is replaced by a general tag, one that reaches REMOVE is removed, everywhere in the
+documents with the entity, however few they are. Documents without an entity are never changed. An entity of all documents
+carries no information, so nothing discloses it. Base matches count as white space when terms are read.
 
 Nulls, empty texts and empty tables: a null text is empty; an empty text has no span; no rows give no rows. Repeated rows
 each get the same result. Rows are told apart by doc_id (null is an id too) and text. Extra columns are ignored by
@@ -23,7 +24,7 @@ from .common import same, stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 TAGS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
-WINDOW, SUPPORT, GENERALISE, REMOVE = 64, 3, 0.85, 0.95
+GENERALISE, REMOVE, BLOCK = 0.85, 0.95, 128
 
 # Possessive forms of the contract's patterns: they match the same spans without backtracking over long runs. A match can
 # only begin where a run of its class begins, or where the last match ended (\G).
@@ -85,61 +86,109 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def _mentions(text: Column, spans: Column) -> Column:
-    """Terms around each span: array of (entity, term, start, end), without what overlaps a base span."""
-
-    def around(span: Column) -> Column:
-        entity = F.xxhash64(span["kind"], F.when(span["kind"] < 2, F.lower(span["value"])).otherwise(_digits(span["value"])))
-        low = F.greatest(span["start"] - WINDOW, F.lit(0))
-        left = F.concat(F.when(low > 0, "x").otherwise(" "), F.substring(text, low + 1, span["start"] - low), F.lit(" "))
-        high = F.least(span["end"] + WINDOW, F.length(text))
-        right = F.concat(F.lit(" "), F.substring(text, span["end"] + 1, high - span["end"]), F.when(high < F.length(text), "x").otherwise(" "))
-
-        def terms(side: Column, base: Column) -> Column:  # a word that the window's edge cuts touches the x there
-            whole = F.filter(_matches(side, 4, TERM, F.lit(True)), lambda s: (s["start"] > 0) & (s["end"] < F.length(side)))
-            return F.transform(whole, lambda s: F.struct(entity.alias("entity"), F.xxhash64(F.lower(s["value"])).alias("term"), (s["start"] + base).alias("start"), (s["end"] + base).alias("end")))
-
-        return F.concat(terms(left, low - 1), terms(right, span["end"] - 1))
-
-    terms = F.flatten(F.transform(spans, around))
-    return F.filter(terms, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-
-
-def find_pii(documents: DataFrame, window_support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """doc_id, __pii_key (a hash of the text) and `terms`, the method's spans, for each document in which terms disclose an
-    entity; at most a row for each doc_id and text. Base spans come from base_spans() and need no row here."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with white space in place of each span, as long as before."""
+    out = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(
+                s["end"] > acc["at"],
+                F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.repeat(F.lit(" "), s["end"] - F.greatest(acc["at"], s["start"])))),
+            ).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, out).otherwise(text)
+
+
+def _terms(text: Column, spans: Column) -> Column:
+    """The distinct terms (hashes) of text beside its base spans."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(_blanked(text, spans)), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+
+
+def _term_spans(text: Column, spans: Column, general: Column, removed: Column) -> Column:
+    """The spans of the terms whose hashes are in general or removed. Places are summed in blocks of BLOCK terms, then over
+    the blocks, since an array that grows term by term would cost the square of a long text's terms."""
+    kept = _blanked(text, spans)
+    let = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))
+
+    def of(pairs: Column) -> Column:
+        count = F.ceil(F.size(pairs) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
+        blocks = F.when(count > 0, blocks).otherwise(F.array().cast("array<array<struct<gap:int,n:int,term:bigint>>>"))
+        return let(blocks, placed)
+
+    def placed(blocks: Column) -> Column:
+        size = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
+        begin = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + size(x))))
+        return let(begin, lambda first: F.flatten(F.transform(blocks, lambda block, k: inside(block, F.get(first, k)))))
+
+    def inside(block: Column, first: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(first.alias("at"), F.array().cast(SPAN).alias("spans")),
+            lambda acc, x: let(
+                F.when(F.array_contains(removed, x["term"]), 5).when(F.array_contains(general, x["term"]), 4),
+                lambda kind: F.struct(
+                    (acc["at"] + x["gap"] + x["n"]).alias("at"),
+                    F.when(
+                        kind.isNotNull(),
+                        F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), kind.alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"), F.lit(None).cast("string").alias("value")))),
+                    ).otherwise(acc["spans"]).alias("spans"),
+                ),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    hits = F.regexp_extract_all(kept, F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(hits, F.split(kept, TERM, -1), lambda hit, gap: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("n"), F.xxhash64(F.lower(hit)).alias("term")))
+    return let(F.filter(pairs, lambda x: x["n"].isNotNull()), of)
+
+
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["kind"], F.when(s["kind"] < 2, F.lower(s["value"])).otherwise(_digits(s["value"])))))
+
+
+def find_pii(documents: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """doc_id, __pii_key (a hash of the text), and the hashes of the terms to replace, `general` and `removed`, for each
+    document in which terms disclose an entity; a row for each doc_id and text. Base spans come from base_spans() and need
+    no row here."""
     docs = documents.select("doc_id", whole_text().alias("text"))
     total = docs.count()
-    seen = docs.where(F.col("text").rlike("[@0-9]")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    seen = stored(seen.select("doc_id", F.xxhash64("text").alias("__pii_key"), _mentions(F.col("text"), F.col("spans")).alias("mentions")), "pii-mentions")
-
-    pair = seen.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: F.struct(m["entity"].alias("entity"), m["term"].alias("term"))))).alias("p"))
-    pair = pair.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= window_support)
-    entity = seen.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
-    term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    none = F.array().cast(SPAN)
+    docs = docs.withColumn("spans", F.when(F.col("text").rlike("[@0-9]"), base_spans(F.col("text"))).otherwise(none))
+    seen = docs.where(F.size("spans") > 0).select("doc_id", F.xxhash64("text").alias("__pii_key"), _entities(F.col("spans")).alias("entities"), _terms(F.col("text"), F.col("spans")).alias("terms"))
+    seen = stored(seen, "pii-seen")
 
     n = F.lit(float(max(total, 1)))
-    disclosed = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
-    rules = pair.join(term, "term").join(entity, "entity").where(F.col("n_entity") < n).withColumn("disclosed", disclosed).where(F.col("disclosed") >= generalise)
-    rules = rules.select("entity", "term", F.when(F.col("disclosed") >= remove, 5).otherwise(4).alias("kind"))
+    # n(t,c) is at most n(c), so a term of more documents than this cannot reach the threshold: no verdict changes
+    most = lambda n_entity: n * F.pow(n_entity / n, F.lit(float(generalise))) * (1 + 1e-9)
+    entity = stored(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") < n), "pii-entities")
+    widest = entity.agg(F.max("n_entity")).first()[0] or 0
+    term = docs.select(F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= most(F.lit(float(widest))))
+    pair = seen.select("doc_id", "__pii_key", "entities", F.explode("terms").alias("term")).join(term, "term")
+    pair = pair.select("doc_id", "__pii_key", "term", "n_term", F.explode("entities").alias("entity")).join(entity, "entity").where(F.col("n_term") <= most(F.col("n_entity")))
+    pair = stored(pair, "pii-pairs")
 
-    flagged = seen.select("doc_id", "__pii_key", F.explode("mentions").alias("m")).select("doc_id", "__pii_key", "m.*").join(rules, ["entity", "term"])
-    # a term between two mentions may be flagged for both; the stricter verdict holds
-    flagged = flagged.groupBy("doc_id", "__pii_key", "start", "end").agg(F.max("kind").alias("kind"))
-    row = F.struct("start", "kind", "end", F.lit(None).cast("string").alias("value"))
-    return flagged.groupBy("doc_id", "__pii_key").agg(F.sort_array(F.collect_list(row)).alias("terms"))
+    disclosed = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
+    rules = pair.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    rules = rules.withColumn("disclosed", disclosed).where(F.col("disclosed") >= generalise).select("entity", "term", (F.col("disclosed") >= remove).alias("remove"))
+    # a term may be flagged for two entities; the stricter verdict holds
+    flagged = pair.select("doc_id", "__pii_key", "entity", "term").join(rules, ["entity", "term"])
+    return flagged.groupBy("doc_id", "__pii_key").agg(F.collect_set(F.when(~F.col("remove"), F.col("term"))).alias("general"), F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("removed"))
 
 
 def with_spans(documents: DataFrame, corpus: DataFrame | None = None, **thresholds: float) -> DataFrame:
     """documents (doc_id, text, others) with `__pii_base` and `__pii_spans`, all spans by start, then kind. The statistics
     come from corpus, by default documents."""
     docs = documents.withColumn("__pii_base", base_spans(whole_text()))
-    terms = find_pii(documents if corpus is None else corpus, **thresholds).select(F.col("doc_id").alias("__pii_id"), F.col("__pii_key").alias("__pii_hash"), F.col("terms").alias("__pii_terms"))
+    terms = find_pii(documents if corpus is None else corpus, **thresholds).select(F.col("doc_id").alias("__pii_id"), F.col("__pii_key").alias("__pii_hash"), F.col("general").alias("__pii_general"), F.col("removed").alias("__pii_removed"))
     key = F.when(F.size("__pii_base") > 0, F.xxhash64(whole_text()))
     joined = docs.withColumn("__pii_text_key", key).join(terms, same(F.col("doc_id"), F.col("__pii_id")) & (F.col("__pii_text_key") == F.col("__pii_hash")), "left")
-    spans = F.sort_array(F.concat("__pii_base", F.coalesce("__pii_terms", F.array().cast(SPAN))))
-    return joined.withColumn("__pii_spans", spans).drop("__pii_id", "__pii_hash", "__pii_terms", "__pii_text_key")
+    found = F.when(F.col("__pii_hash").isNotNull(), _term_spans(whole_text(), F.col("__pii_base"), F.col("__pii_general"), F.col("__pii_removed"))).otherwise(F.array().cast(SPAN))
+    return joined.withColumn("__pii_spans", F.sort_array(F.concat("__pii_base", found))).drop("__pii_id", "__pii_hash", "__pii_general", "__pii_removed", "__pii_text_key")
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -57,6 +57,23 @@ def test_pii_disclosing_terms(spark):
     assert out[0].n_chars == len(out[0].text) and out[300].text == rows[300][1] and len(out) == 400
 
 
+def test_pii_terms_of_an_entity_in_one_document(spark):
+    far = "ordinary words " * 30
+    rows = [(0, f"{far}Zebrafish {far}write to z@corp.org {far}zebrafish"), (1, "quagga pair one@x.org"), (2, "quagga pair two@x.org")]
+    rows += [(k, "ordinary words write to pair about nothing") for k in range(3, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in pii.op1(df).collect()}
+    named = {i: [(kind, rows[i][1][int(a) : int(b)]) for kind, a, b in found[i]] for i in (0, 1, 2)}
+    assert named[0] == [("remove", "Zebrafish"), ("email", "z@corp.org"), ("remove", "zebrafish")]
+    assert named[1] == [("generalise", "quagga"), ("email", "one@x.org")] and named[2] == [("generalise", "quagga"), ("email", "two@x.org")]
+    assert not any(found[k] for k in range(3, 400))
+    unique = "".join(chr(97 + k // 26) + chr(97 + k % 26) * 2 + "q " for k in range(676))  # several blocks of terms
+    df = spark.createDataFrame([(0, f"é🙂 {unique}a@b.co {unique}"), *rows[3:]], "doc_id long, text string")
+    got = [s.split(":") for s in next(r.spans for r in pii.op1(df).collect() if r.doc_id == 0).split(",")]
+    text = f"é🙂 {unique}a@b.co {unique}"
+    assert [text[int(a) : int(b)] for kind, a, b in got] == [m[0] for m in re.finditer(r"\S+@\S+|[a-z]+", text)]
+
+
 def test_fingerprint(docs, none):
     rows = fingerprint.op2(docs).collect()
     texts = {(i, t or "") for i, t in TEXTS}
