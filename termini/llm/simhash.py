@@ -70,17 +70,17 @@ def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row."""
+    """doc_id, text_hash (XXH64 of the text) and fp (the 64 bits as a signed long) of each row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 fp = fingerprints_of(batch.column("text").to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view("i8"))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view("i8"))], ["doc_id", "text_hash", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", whole_text().alias("text")).mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return documents.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_hash")).mapInArrow(hashed, f"doc_id {kind}, text_hash long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -262,16 +262,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clustered(documents: DataFrame, words: int = WORDS, most: int = D) -> DataFrame:
-    """doc_id, fp and component_id of each row."""
+    """doc_id, text_hash, fp, root (a fingerprint of the component, the same for all its rows) and component_id of each row."""
     hashed = stored(fingerprints(documents, words), "fingerprints")
     reps = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(links(reps.select("fp"), most))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked_reps = stored(roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "rep"), "linked")
     least = stored(linked_reps.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
-    moved = linked_reps.join(least, "root").select("fp", "component_id")
-    places = stored(reps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "places")
-    return hashed.join(places, "fp").select("doc_id", "fp", "component_id")
+    moved = linked_reps.join(least, "root").select("fp", "root", "component_id")
+    places = stored(reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id")), "places")
+    return hashed.join(places, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def op6(documents: DataFrame) -> DataFrame:
@@ -280,14 +280,18 @@ def op6(documents: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, words: int = WORDS, most: int = D) -> DataFrame:
-    """documents without all but one row of each component: the row with the smallest doc_id. All columns stay. Rows that
-    repeat this doc_id are copies too; of them one row stays. Rows with null doc_id stay only where their component has no id."""
-    rows = clustered(documents, words, most)
-    keep = stored(rows.groupBy("component_id").agg(F.count(F.when(same(F.col("doc_id"), F.col("component_id")), 1)).alias("n")).select(F.col("component_id").alias("__keep"), "n"), "kept")
-    # the ids to drop: copies are fewer than documents, so their ids are what Spark may find small enough to broadcast
-    copies = rows.where(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
-    drop = stored(copies.join(keep.select("__keep"), same(F.col("__drop"), F.col("__keep")), "left_anti"), "dropped")
-    kept = documents.join(drop, same(F.col("doc_id"), F.col("__drop")), "left_anti")
-    if keep.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    """documents without all but one row of each component: a row with the smallest doc_id (null last), of those the one with
+    the smallest text hash. All columns stay. Only rows that fingerprints link are copies: different texts stay under one
+    doc_id, and without one, unless their component has another row to stay."""
+    rows = stored(clustered(documents, words, most).select("root", "doc_id", "text_hash"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    keep = stored(rows.groupBy("root").agg(first), "kept")
+    chosen = same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = rows.join(keep, "root").withColumn("chosen", chosen)
+    # the rows to drop: copies are fewer than documents, so their keys are what Spark may find small enough to broadcast
+    drop = stored(marked.where(~F.col("chosen")).select(F.col("doc_id").alias("__drop"), F.col("text_hash").alias("__text")).distinct(), "dropped")
+    key = F.xxhash64(whole_text())
+    kept = documents.join(drop, same(F.col("doc_id"), F.col("__drop")) & (key == F.col("__text")), "left_anti")
+    if marked.where("chosen").groupBy("root").count().where("count > 1").limit(1).count():  # the chosen row itself is repeated
+        kept = kept.withColumn("__text", key).dropDuplicates(["doc_id", "__text"]).drop("__text")
     return kept

@@ -263,3 +263,12 @@ def test_deduplicated_with_null_and_repeated_ids(spark):
     assert kept.columns == ["doc_id", "text", "source"] and {r.doc_id for r in kept.collect()} >= {1, 5} and 2 not in {r.doc_id for r in kept.collect()}
     assert sum(r.doc_id == 1 for r in kept.collect()) == 1
     assert simhash.deduplicated(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_deduplicated_keeps_different_texts_under_one_id(spark):
+    words = [" ".join(f"{c}{k}{c}" for k in range(40)) for c in "abcdefgh"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[2]), (None, words[2]), (7, words[3]), (7, words[4]), (7, words[4]), (None, words[5]), (9, words[5]), (3, words[5]), (3, words[6]), (4, words[6]), (4, words[7]), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.text or "") for r in simhash.deduplicated(df).collect())
+    want = [(None, words[0]), (None, words[1]), (None, words[2]), (7, words[3]), (7, words[4]), (3, words[5]), (3, words[6]), (4, words[7]), (None, "")]
+    assert got == sorted((str(i), t) for i, t in want)
