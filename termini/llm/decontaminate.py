@@ -8,8 +8,11 @@ PASSAGE consecutive words (the whole item, if shorter) agree in SHARE of their p
 Items are worked through in blocks of BLOCK_WORDS words, each broadcast alone, so a benchmark of any size is searched
 whole with bounded memory. Words are runs of letters, digits and _, in lower case.
 
-Null or empty text: no words, no overlap, on either side. Items under FEWEST words are no passages (five words rule) and
-are not searched. Repeated documents each give their rows; repeated items count under each item_id. Empty tables give no
+Items shorter than PASSAGE have seeds of their own (short_seeds): their words fall into blocks, and for each choice of as
+many blocks as words may differ, a seed leaves these out. Wherever the differing words are, some seed misses them all.
+Items under FEWEST words may differ nowhere: they are found where all their words stand in a row.
+
+Null or empty text: no words, no overlap, on either side. Repeated documents each give their rows; repeated items count under each item_id. Empty tables give no
 rows. Extra columns are not carried by overlaps() and all kept by decontaminated()."""
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -55,23 +59,35 @@ def _ids(text: str) -> np.ndarray:
 
 
 def _windows(ids: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
-    """The hash of the seed's positions in each window."""
-    n = len(ids) - seed[-1]
-    out = np.full(max(n, 0), np.uint64(0x9E3779B97F4A7C15 * (len(seed) + 16 * seed[-1]) % (1 << 64)))
-    for k, offset in enumerate(seed):
+    """The hash of the seed's positions in each window, a window for each place of the seed's first position."""
+    n = len(ids) - (seed[-1] - seed[0])
+    out = np.full(max(n, 0), np.uint64(0x9E3779B97F4A7C15 * (len(seed) + 16 * (seed[-1] - seed[0])) % (1 << 64)))
+    for k, offset in enumerate(x - seed[0] for x in seed):
         out += ids[offset : offset + n] * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) % (1 << 64) | 1) if n > 0 else np.uint64(0)
     return out ^ (out >> np.uint64(29))
 
 
+def short_seeds(n: int) -> list[tuple[int, ...]]:
+    """Seeds for an item of n words, n < PASSAGE: any n - ceil(SHARE n) differing words (none under FEWEST) are in no place
+    of some seed. The fewest blocks are taken that leave a seed as many places as those of SEEDS have, or all it can have."""
+    spare = 0 if n < FEWEST else n - math.ceil(SHARE * n - 1e-9)
+    for count in range(spare + 1, n + 1):
+        cut = [n * k // count for k in range(count + 1)]
+        left_out = [{x for k in chosen for x in range(cut[k], cut[k + 1])} for chosen in combinations(range(count), spare)]
+        if n - max(map(len, left_out)) >= min(len(SEEDS[0]), n - spare):
+            break
+    return [tuple(x for x in range(n) if x not in out) for out in left_out]
+
+
 class Items:
     """A block of benchmark items and its table of hashes."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]]) -> None:
         self.item_id = [i for i, _ in items]
         self.words = [w for _, w in items]
-        shortest = {len(w) for w in self.words if len(w) <= max(s[-1] for s in SEEDS)}
-        self.seeds = [*SEEDS, *(tuple(range(n)) for n in sorted(shortest) if n < len(SEEDS[0]))]
-        rows = [(h, item, at) for item, w in enumerate(self.words) for s in self.seeds if len(s) >= len(SEEDS[0]) or len(s) == len(w) for at, h in enumerate(_windows(w, s).tolist())]
+        mine = {n: SEEDS if n >= PASSAGE else short_seeds(n) for n in map(len, self.words)}
+        self.seeds = sorted({tuple(x - s[0] for x in s) for seeds in mine.values() for s in seeds})
+        rows = [(h, item, at) for item, w in enumerate(self.words) for s in mine[len(w)] for at, h in enumerate(_windows(w, s).tolist(), s[0])]
         rows.sort()
         self.hash = np.array([r[0] for r in rows], "u8")
         self.item = np.array([r[1] for r in rows], "i8")
@@ -99,9 +115,10 @@ class Items:
             size = min(PASSAGE, len(w))
             if high - low < size:
                 continue
+            need = size if size < FEWEST else math.ceil(SHARE * size - 1e-9)
             equal = (line[low:high] == w[low - start : high - start]).astype("i8")
             sums = np.concatenate([[0], np.cumsum(equal)])
-            runs = np.flatnonzero(sums[size:] - sums[:-size] >= math.ceil(SHARE * size - 1e-9))
+            runs = np.flatnonzero(sums[size:] - sums[:-size] >= need)
             if len(runs):
                 a, b = int(runs[0]), int(runs[-1]) + size
                 found = (low + a - int(first[text]), b - a, float(equal[a:b].mean()))
@@ -115,7 +132,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
     held, size = [], 0
     for row in benchmark.select("item_id", whole_text().alias("text")).toLocalIterator():
         words = _ids(row.text)
-        if len(words) < FEWEST:
+        if not len(words):
             continue
         held.append((row.item_id, words))
         size += len(words)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -272,3 +273,22 @@ def test_deduplicated_keeps_different_texts_under_one_id(spark):
     got = sorted((str(r.doc_id), r.text or "") for r in simhash.deduplicated(df).collect())
     want = [(None, words[0]), (None, words[1]), (None, words[2]), (7, words[3]), (7, words[4]), (3, words[5]), (3, words[6]), (4, words[7]), (None, "")]
     assert got == sorted((str(i), t) for i, t in want)
+
+
+def test_decontamination_finds_every_allowed_substitution_of_short_items():
+    for n in range(1, 17):
+        words, spare = [f"w{k}" for k in range(n)], 0 if n < 5 else n - -(-4 * n // 5)
+        items = decontaminate.Items([(n, decontaminate._ids(" ".join(words)))])
+        texts = [" ".join(["before", "it", *("XX" if k in out else w for k, w in enumerate(words)), "after"]) for most in range(min(spare, 2) + 1) for out in combinations(range(n), most)]
+        assert {(f[0], f[2], f[3]) for f in items.overlaps(texts) if n < 13} == {(k, 2, n) for k in range(len(texts)) if n < 13}
+        assert {f[0] for f in items.overlaps(texts)} == set(range(len(texts)))
+        if n < 13:  # one word more may not differ
+            texts = [" ".join("XX" if k in out else w for k, w in enumerate(words)) for out in combinations(range(n), spare + 1)]
+            assert not items.overlaps(texts)
+
+
+def test_decontamination_of_items_under_five_words(spark):
+    bench = spark.createDataFrame([(1, "今日は天気がいいです。明日は雨です。"), (2, "Short item"), (3, "?!")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "前。今日は天気がいいです。明日は雨です。後"), (2, "a short, ITEM here"), (3, "short of an item"), (4, "今日は天気がいいです。"), (5, "?!")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.op10(df, bench).collect()) == [(1, 1), (2, 2)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(df, bench).collect()) == [3, 4, 5]
