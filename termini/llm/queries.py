@@ -63,8 +63,8 @@ SELECT doc_id, n_chars::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fi
 FROM f""",
     "op9_chat": f"""
 WITH c AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]', NULL), (-1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL)
 )
 SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -72,5 +72,5 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length('<|im_start|>' || {_escape("role")} || chr(10) || {_escape("text")} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars,
     false AS rewrites_history
-FROM c GROUP BY conv_id""",
+FROM c GROUP BY conv_id, own""",
 }

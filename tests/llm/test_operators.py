@@ -246,7 +246,7 @@ def test_chat(spark):
     assert chat.formatted([("user", "x"), ("assistant", "y"), ("user", "z"), ("assistant", "w")], dropping).rewrites
     df = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", None), (2, None, None, "x"), (2, None, None, "x")], "conv_id long, turn long, role string, text string")
     rows = {r.conv_id: r for r in chat.op9(df).collect()}
-    assert set(rows) == {-1, 1, 2} and rows[2].n_turns == 2 and rows[1].loss_chars == 1
+    assert set(rows) == {-1, 1, 2} and rows[2].n_turns == 2 and rows[1].loss_chars == 1 and rows[1].formatted_chars == len(chat.turn_markup([("user", ""), ("assistant", "b")]))
     assert rows[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest()
 
 
