@@ -7,16 +7,21 @@ from the symbols that stand at a's right edge and b's left edge while each is be
 merge that comes before either symbol is merged away.
 
 A text is cut into parts whose encoding does not depend on their left (chunks.py); counts of parts add up, and the prefix
-that ends inside a part is that part's own prefix. Truncation and budget questions are look-ups (prefix_table, fits,
-truncate): nothing is encoded again.
+that ends inside a part is that part's own prefix. Inside a part only three things change when a prefix ends: a run of
+white space is one pre-token as long as nothing follows it, a contraction is cut into its letters, and the beginning of a
+special string is ordinary text. Each has its own step; every other prefix takes its count from its pre-token's one pass,
+so the table of a text costs time linear in its length. Truncation and budget questions are look-ups in a stored table
+(fits, truncate, chars_within): nothing is encoded again.
 
-Null text: 0 bytes, 0 tokens. Empty text: 0. Repeated rows: counted each. Extra columns are not carried."""
+Null text: 0 bytes, 0 tokens. Empty text: 0. Repeated rows: counted each. An empty table gives no rows. Extra columns are
+not carried."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,7 +31,7 @@ from .chunks import chunks
 from .common import whole_text
 
 LIMIT = 1024
-KEPT, LONG, BLOCK = 1_000_000, 64, 512
+KEPT, LONG, BLOCK = 600_000, 63, 512  # LONG characters have 252 tokens at most, so their counts fit in bytes
 # Fixed value: the public pre-tokenization pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 62
@@ -51,13 +56,16 @@ class PrefixCounter:
         self.vocab = {plain(t) for t in spec["model"]["vocab"] if t not in set(self.special)}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(plain(a), plain(b)): k for k, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocab))
+        self.ends = ahocorasick.Automaton()  # which tokens end at a place; bytes as the letters of the same numbers
+        for token in self.vocab:
+            self.ends.add_word(token.decode("latin-1"), token)
+        self.ends.make_automaton()
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.edges: dict[bytes, tuple | None] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.pieces: dict[str, int] = {}
-        self.totals: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.tables: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> "PrefixCounter":
@@ -102,90 +110,162 @@ class PrefixCounter:
 
     def piece_counts(self, piece: bytes) -> list[int]:
         """The token count of every prefix (in bytes) of one pre-token, the empty one first."""
-        n = len(piece)
-        count, last = [0] * (n + 1), [b""] * (n + 1)
-        for i in range(1, n + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                token = piece[i - size : i]
-                if token in self.vocab and (self._edge(token) if size == i else self._edge(token) and self._may_follow(last[i - size], token)):
-                    count[i], last[i] = count[i - size] + 1, token
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {i} of {piece!r}")
+        count, last = [0] * (len(piece) + 1), [b""] * (len(piece) + 1)
+        for at, token in self.ends.iter(piece.decode("latin-1")):
+            end = at + 1
+            if last[end]:
+                continue  # the last token is known; there is only one
+            start = end - len(token)
+            if self._edge(token) and (start == 0 or (last[start] and self._may_follow(last[start], token))):
+                count[end], last[end] = count[start] + 1, token
+        if not all(last[1:]):
+            raise ValueError(f"no token ends at a byte of {piece[:80]!r}")
         return count
 
-    def _piece(self, piece: str) -> int:
+    def _piece(self, piece: str) -> list[int]:
+        """The token count of every prefix (in characters) of one pre-token, the empty one left out."""
         known = self.pieces.get(piece)
         if known is None:
-            known = self.piece_counts(piece.encode())[-1]
+            data = piece.encode()
+            counts = self.piece_counts(data)
+            known = counts[1:] if len(data) == len(piece) else [counts[k] for k in np.cumsum([len(c.encode()) for c in piece]).tolist()]
             if len(piece) <= LONG:
-                if len(self.pieces) >= KEPT:
+                if len(self.pieces) >= KEPT // 2:
                     self.pieces.clear()
                 self.pieces[piece] = known
         return known
 
-    def _part(self, part: str) -> int:
-        if self.cut and any(s in part for s in self.special):
-            bits = self.cut.split(part)
-            return sum(1 if k % 2 else self._part(bit) for k, bit in enumerate(bits))
-        return sum(map(self._piece, self.split.findall(part)))
+    def _plain(self, part: str) -> list[int]:
+        """The counts of all prefixes but the empty one of a part that holds no special string."""
+        out: list[int] = []
+        base = 0
+        run, run_base = "", 0  # the white space just before, and the count before it
+        for piece in self.split.findall(part):
+            counts = self._piece(piece)
+            white = len(piece) - len(piece.lstrip())
+            if white:  # white space at a prefix's end is one pre-token with all white space before it
+                if not run:
+                    run_base = base
+                run += piece[:white]
+                out += [run_base + n for n in self._piece(run)[len(run) - white :]]
+            if white < len(piece):
+                run = ""
+                if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # a contraction, not whole before its end
+                    out += [base + sum(self._piece(x)[-1] for x in self.split.findall(piece[:k])) for k in range(1, len(piece))]
+                    out.append(base + counts[-1])
+                else:
+                    out += [base + n for n in counts[white:]]
+            base += counts[-1]
+        return out
 
-    def count(self, text: str) -> int:
-        totals = self.totals
-        if len(totals) >= KEPT:
-            totals.clear()
-        out = 0
-        for part in chunks(text):
-            n = totals.get(part)
-            if n is None:
-                n = self._part(part)
-                if len(part) <= LONG:
-                    totals[part] = n
-            out += n
+    def _part(self, part: str) -> list[int]:
+        """The counts of all prefixes of a part but the empty one."""
+        if not self.cut or not self.cut.search(part):
+            return self._plain(part)
+        out: list[int] = []
+        base, bits = 0, self.cut.split(part)
+        for k in range(0, len(bits), 2):
+            special = bits[k + 1] if k + 1 < len(bits) else ""
+            counts = self._plain(bits[k] + special[:-1])  # a special string counts as one only when it is whole
+            out += [base + n for n in counts]
+            base += counts[len(bits[k]) - 1] if bits[k] else 0
+            if special:
+                base += 1
+                out.append(base)
         return out
 
+    def _table(self, part: str) -> bytes:
+        """_part as bytes, kept; for parts of LONG characters at most."""
+        known = self.tables.get(part)
+        if known is None:
+            known = bytes(self._part(part))
+            if len(self.tables) >= KEPT:
+                self.tables.clear()
+            self.tables[part] = known
+        return known
+
     def prefix_table(self, text: str) -> np.ndarray:
         """table[i] is the exact token count of text[:i], for every i from 0 to len(text)."""
-        table, at, base = np.zeros(len(text) + 1, "i8"), 0, 0
-        for part in chunks(text):
-            table[at + 1 : at + len(part) + 1] = base + self._part_table(part)
-            at, base = at + len(part), int(table[at + len(part)])
+        parts = chunks(text)
+        if all(len(p) <= LONG for p in parts):
+            found = [self._table(p) for p in parts]
+            inside = np.frombuffer(b"".join(found), "u1")
+            totals, sizes = [x[-1] for x in found], list(map(len, found))
+        else:
+            arrays = [np.frombuffer(self._table(p), "u1") if len(p) <= LONG else np.array(self._part(p), "i8") for p in parts]
+            inside = np.concatenate(arrays)
+            totals, sizes = [int(x[-1]) for x in arrays], [len(x) for x in arrays]
+        table = np.zeros(len(text) + 1, "i8")
+        if parts:
+            before = np.concatenate([[0], np.cumsum(totals[:-1], dtype="i8")])
+            np.add(inside, np.repeat(before, sizes), out=table[1:])
         return table
 
-    def _part_table(self, part: str) -> np.ndarray:
-        out = np.zeros(len(part), "i8")
-        for i in range(1, len(part) + 1):
-            head = part[:i]
-            # an end inside a pre-token takes its count from that pre-token's pass; pieces are kept, so only the last is new
-            out[i - 1] = self._part(head)
-        return out
+    def count(self, text: str) -> int:
+        return int(self.prefix_table(text)[-1])
+
+
+def chars_within(table: np.ndarray, budget: int) -> int:
+    """The length of the longest prefix with a count of budget at most; a longer prefix may have fewer tokens."""
+    return int(np.flatnonzero(table <= budget)[-1]) if budget >= 0 else 0
+
+
+def fits(table: np.ndarray, budget: int) -> bool:
+    return int(table[-1]) <= budget
+
 
-    def fits(self, text: str, budget: int) -> bool:
-        return self.count(text) <= budget
+def truncate(text: str, table: np.ndarray, budget: int) -> str:
+    """The longest prefix of the text with a count of budget at most."""
+    return text[: chars_within(table, budget)]
 
-    def truncate(self, text: str, budget: int) -> str:
-        """The longest prefix with a count of budget at most."""
-        table = self.prefix_table(text)
-        return text[: int(np.flatnonzero(table <= budget)[-1])] if budget >= 0 else ""
+
+def packed(table: np.ndarray) -> bytes:
+    """A table as bytes: the steps from prefix to prefix, as one signed byte each where they fit."""
+    steps = np.diff(table)
+    kind = "<i1" if not len(steps) or (steps.min() >= -128 and steps.max() <= 127) else "<i8"
+    return kind[1:].encode() + steps.astype(kind).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The inverse of packed."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(data, f"<{data[:2].decode()}", offset=2), dtype="i8")])
+
+
+def prefix_tables(documents: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id and prefix_table (packed) of each row: stored once, it answers every later budget."""
+
+    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PrefixCounter.at(tokenizer_path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                tables = [packed(counter.prefix_table(t)) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tables, pa.binary())], ["doc_id", "prefix_table"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", whole_text().alias("text")).mapInArrow(tabled, f"doc_id {kind}, prefix_table binary")
 
 
 def token_counts(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of each row's whole text."""
+    """doc_id, n_bytes, n_tokens, over_limit and chars_within_limit (the code points of the longest prefix within the limit)
+    of each row's whole text, all from its prefix table."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter.at(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                texts = batch.column("text").to_pylist()
-                n = pa.array(map(counter.count, texts), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), n, pa.array([x > limit for x in n.to_pylist()], pa.bool_())],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
+                n, within, size = [], [], []
+                for text in batch.column("text").to_pylist():
+                    table = counter.prefix_table(text)
+                    n.append(int(table[-1]))
+                    within.append(chars_within(table, limit))
+                    size.append(len(text.encode()))
+                columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(within, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within_limit"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", whole_text().alias("text")).mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return documents.select("doc_id", whole_text().alias("text")).mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, chars_within_limit long")
 
 
 op7 = token_counts

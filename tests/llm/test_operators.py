@@ -116,7 +116,8 @@ def test_every_prefix_counts_exactly():
     for text in ("I'll  do\tit \n\n they're<|endoftext|> x  \r\n 123", "aaaa    bbb  \x00 　é日本語 🙂🙂 don'ts"):
         table = counter.prefix_table(text)
         assert table.tolist() == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
-        assert counter.count(counter.truncate(text, 5)) <= 5 and counter.fits(text, int(table[-1]))
+        assert counter.count(token_counts.truncate(text, table, 5)) <= 5 and token_counts.fits(table, int(table[-1])) and not token_counts.fits(table, int(table[-1]) - 1)
+        assert token_counts.unpacked(token_counts.packed(table)).tolist() == table.tolist()
 
 
 def test_pieces(docs, none):
