@@ -35,12 +35,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FINGERPRINT = """
     sha256(array_to_string(list_transform(string_split({t}, '/'), lambda s: sha256(array_to_string(list_transform(string_split(s, ';'), lambda p: sha256(p)), ''))), '')) || '/' || {t}"""
 _TREE = """regexp_replace(array_to_string(list_transform(
-        list_transform(string_split(regexp_replace({x}, '([.!?;:,])[ \\t]+', '\\1' || chr(1), 'g'), chr(10)),
-            lambda line: array_to_string(list_transform(string_split(line, chr(1)), lambda clause: left(sha256(clause), 8)), ',')),
+        list_transform(string_split(regexp_replace({x}, '([.!?;:,][ \\t]+)', '\\1' || chr(1), 'g'), chr(10)),
+            lambda line: array_to_string(list_transform(string_split(line, chr(1)), lambda clause: left(sha256(clause), 32)), ',')),
         lambda leaf: leaf || CASE WHEN left(sha256(leaf), 1) IN ('0', '1', '2', '3') THEN '/' ELSE ';' END), ''), '[;/]$', '')"""
-_NEAR = """CASE WHEN left({a}, 64) = left({b}, 64) THEN 1.0::DOUBLE ELSE
-        len(list_intersect(list_distinct(string_split(translate(substr({a}, 66), '/;', ',,'), ',')), list_distinct(string_split(translate(substr({b}, 66), '/;', ',,'), ','))))::DOUBLE
-        / len(list_distinct(list_concat(string_split(translate(substr({a}, 66), '/;', ',,'), ','), string_split(translate(substr({b}, 66), '/;', ',,'), ',')))) END"""
+
+
+def _opened(branches: str, mark: str) -> str:
+    return f"flatten(list_transform({branches}, lambda x: string_split(x, '{mark}')))"
+
+
+def _without(x: str, y: str) -> str:
+    return f"list_filter(list_distinct({x}), lambda e: NOT list_contains({y}, e))"
+
+
+def _within(x: str, y: str) -> str:
+    return f"list_filter(list_distinct({x}), lambda e: list_contains({y}, e))"
+
+
+def _clauses(branches: str) -> str:
+    return f"coalesce(list_sum(list_transform({branches}, lambda x: (length(x) + 1) // 33)), 0)"
+
+
+def _common(x: str, y: str) -> str:
+    return f"coalesce(list_position(list_transform(list_zip({x}, {y}), lambda z: coalesce(z[1] = z[2], false)), false) - 1, greatest(len({x}), len({y})))"
+
+
+def _compared(source: str, step: str, a: str, b: str) -> str:
+    """DuckDB CTEs that descend the trees a and b of source, as compared() does: {step}4 has its rows with shared and only_one."""
+    return f"""{step}1 AS (SELECT *, string_split({a}, '/') AS sa, string_split({b}, '/') AS sb FROM {source}),
+{step}2 AS (SELECT *, {_within("sa", "sb")} AS same, list_distinct({_opened(_without("sa", "sb"), ";")}) AS pa, list_distinct({_opened(_without("sb", "sa"), ";")}) AS pb FROM {step}1),
+{step}3 AS (SELECT *, {_within("pa", "pb")} AS alike, list_distinct({_opened(_without("pa", "pb"), ",")}) AS la, list_distinct({_opened(_without("pb", "pa"), ",")}) AS lb FROM {step}2),
+{step}4 AS (SELECT *, len({_within("la", "lb")}) AS both_n FROM {step}3),
+{step}5 AS (SELECT *, {_clauses("same")} + {_clauses("alike")} + both_n AS shared, len(la) + len(lb) - 2 * both_n AS only_one FROM {step}4)"""
 
 
 def _escape(x: str) -> str:
@@ -56,11 +82,17 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM d),
 e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) AS edited FROM n),
 t AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_TREE.format(x="text")} AS a, {_TREE.format(x="edited")} AS b, {_TREE.format(x="next")} AS c FROM e),
-f AS (SELECT doc_id, n_chars, edited_sha256, {_FINGERPRINT.format(t="a")} AS fingerprint, {_FINGERPRINT.format(t="b")} AS edited_fingerprint, {_FINGERPRINT.format(t="c")} AS next_fp FROM t)
-SELECT doc_id, n_chars::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    {_NEAR.format(a="fingerprint", b="edited_fingerprint")} AS near_edited,
-    {_NEAR.format(a="fingerprint", b="next_fp")} AS near_next
-FROM f""",
+{_compared("t", "e", "a", "b")},
+g1 AS (SELECT *, {_common("sa", "sb")} AS front FROM e5),
+g2 AS (SELECT *, least({_common("list_reverse(sa)", "list_reverse(sb)")}, least(len(sa), len(sb)) - front) AS back FROM g1),
+g3 AS (SELECT *, {_opened("sa[front + 1:len(sa) - back]", ";")} AS ma, {_opened("sb[front + 1:len(sb) - back]", ";")} AS mb, coalesce(len({_opened("sa[1:front]", ";")}), 0) AS base FROM g2),
+g4 AS (SELECT *, {_common("ma", "mb")} AS first FROM g3),
+g5 AS (SELECT *, least({_common("list_reverse(ma)", "list_reverse(mb)")}, least(len(ma), len(mb)) - first) AS last FROM g4),
+h AS (SELECT doc_id, n_chars, edited_sha256, {_FINGERPRINT.format(t="a")} AS fingerprint, {_FINGERPRINT.format(t="b")} AS edited_fingerprint, CASE WHEN a = b THEN 1.0::DOUBLE ELSE shared::DOUBLE / (shared + only_one) END AS near_edited,
+    CASE WHEN a <> b THEN (base + first)::BIGINT END AS edit_first, (len(ma) - first - last)::BIGINT AS edit_removed, (len(mb) - first - last)::BIGINT AS edit_added, a, c FROM g5),
+{_compared("h", "n", "a", "c")}
+SELECT doc_id, n_chars::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, CASE WHEN a = c THEN 1.0::DOUBLE ELSE shared::DOUBLE / (shared + only_one) END AS near_next, edit_first, edit_removed, edit_added
+FROM n5""",
     "op9_chat": f"""
 WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
