@@ -1,19 +1,24 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a mask over consecutive words: only its positions are hashed, the others may be substituted. All windows of the
-benchmark items under all seeds form a sorted table of hashes; all windows of all documents probe it. Each hit fixes an
-item, a document and their alignment; the aligned words are then compared one by one, and the overlap counts if some
-PASSAGE consecutive words (the whole item, if shorter) agree in SHARE of their places.
-
-Items are worked through in blocks of BLOCK_WORDS words, each broadcast alone, so a benchmark of any size is searched
-whole with bounded memory. Words are runs of letters, digits and _, in lower case.
-
-Items shorter than PASSAGE have seeds of their own (short_seeds): their words fall into blocks, and for each choice of as
-many blocks as words may differ, a seed leaves these out. Wherever the differing words are, some seed misses them all.
-Items under FEWEST words may differ nowhere: they are found where all their words stand in a row.
-
-Null or empty text: no words, no overlap, on either side. Repeated documents each give their rows; repeated items count under each item_id. Empty tables give no
-rows. Extra columns are not carried by overlaps() and all kept by decontaminated()."""
+A seed is a mask over consecutive words: only its positions are hashed, the others may be substituted. The hashes of all
+windows of the benchmark items under all seeds, sorted, are broadcast; every task joins the hashes of all windows of its
+documents with them (a bitmap of their upper bits first, then a search). Each hit fixes an item, a document and their
+alignment; the aligned words are then compared one by one, and the overlap counts if some PASSAGE consecutive words (the
+whole item, if shorter) agree in SHARE of their places.
+
+Nothing that qualifies is missed: a passage of PASSAGE words with as many differing words as SHARE allows has a window of
+some seed of SEEDS that misses them all, whatever their places. Items shorter than PASSAGE have seeds of their own
+(short_seeds): their words fall into blocks, and for each choice of as many blocks as words may differ, a seed leaves these
+out. Items under FEWEST words may differ nowhere: they are found where all their words stand in a row. tests/llm enumerate
+all places and compare with brute force.
+
+Items are worked through in blocks of BLOCK_WORDS words (about 100 MB, on the driver and in each worker), one pass over the
+documents for each, so a benchmark of any size is searched whole with bounded memory. Hits are verified PAIRS at a time, so
+repetitive texts take bounded memory too. Words are runs of letters, digits and _, in lower case.
+
+Null or empty text: no words, no overlap, on either side. Repeated documents each give their rows; repeated items count
+under each item_id. Empty tables give no rows; without items, decontaminated() keeps all documents. Extra columns are not
+carried by overlaps() and all kept by decontaminated()."""
 
 from __future__ import annotations
 
@@ -29,11 +34,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import fresh_path, whole_text
 
 SEEDS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 9, 10))
 PASSAGE, SHARE, FEWEST = 13, 0.8, 5
-BLOCK_WORDS, BITS = 2_000_000, 22
+BLOCK_WORDS, BITS, PAIRS = 2_000_000, 22, 1_000_000
 
 _WORD = re.compile(r"\w+")
 
@@ -80,37 +85,74 @@ def short_seeds(n: int) -> list[tuple[int, ...]]:
 
 
 class Items:
-    """A block of benchmark items and its table of hashes."""
+    """A block of benchmark items, their words in one line, and the sorted hashes of their windows with each window's place."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]]) -> None:
         self.item_id = [i for i, _ in items]
-        self.words = [w for _, w in items]
-        mine = {n: SEEDS if n >= PASSAGE else short_seeds(n) for n in map(len, self.words)}
-        self.seeds = sorted({tuple(x - s[0] for x in s) for seeds in mine.values() for s in seeds})
-        rows = [(h, item, at) for item, w in enumerate(self.words) for s in mine[len(w)] for at, h in enumerate(_windows(w, s).tolist(), s[0])]
-        rows.sort()
-        self.hash = np.array([r[0] for r in rows], "u8")
-        self.item = np.array([r[1] for r in rows], "i8")
-        self.at = np.array([r[2] for r in rows], "i8")
+        sizes = np.array([len(w) for _, w in items])
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype("i8")
+        self.line = np.concatenate([*(w for _, w in items), np.zeros(0, "u8")])
+        groups: dict[tuple[tuple[int, ...], bool], list[int]] = {}  # seed, short -> lengths of the items that it is for
+        for n in sorted(set(sizes.tolist())):
+            for seed in SEEDS if n >= PASSAGE else short_seeds(n):
+                groups.setdefault((seed, n < PASSAGE), []).append(n)
+        hashes, places = [np.zeros(0, "u8")], [np.zeros(0, "u4")]
+        for (seed, short), lengths in groups.items():
+            h = _windows(self.line, seed)
+            place = np.arange(len(h))  # of the seed's first word
+            item = np.searchsorted(self.first, place, "right") - 1
+            fits = (place + seed[-1] - seed[0] < self.first[item + 1]) & np.isin(sizes[item], lengths)
+            if short:  # a short item's seed stands at one place of its item
+                fits &= place == self.first[item] + seed[0]
+            hashes.append(h[fits])
+            places.append(place[fits].astype("u4"))
+        order = np.argsort(whole := np.concatenate(hashes), kind="stable")
+        self.hash, self.place = whole[order], np.concatenate(places)[order]
+        self.seeds = sorted({tuple(x - s[0] for x in s) for s, _ in groups})
         self.there = np.zeros(1 << BITS, bool)
         self.there[(self.hash >> np.uint64(64 - BITS)).astype("i8")] = True
 
     def overlaps(self, texts: list[str]) -> list[tuple[int, int, int, int, float]]:
-        """(text, item, first word, words, share of equal words) of the best overlap of each pair that has one."""
+        """(text, item, first word, words, share of equal words) of the best overlap of each pair that has one: the one of
+        most words, then of most equal ones, then the first."""
         ids = [_ids(t) for t in texts]
         first = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i8")
         line = np.concatenate([*ids, np.zeros(0, "u8")])
-        hits = set()
+        best: dict[tuple[int, int], tuple[int, float, int]] = {}
+        held: list[np.ndarray] = []  # alignments: text, item, where the item's first word falls in line
+        size = 0
         for seed in self.seeds:
             h = _windows(line, seed)
             place = np.flatnonzero(self.there[(h >> np.uint64(64 - BITS)).astype("i8")])
-            low, high = np.searchsorted(self.hash, h[place]), np.searchsorted(self.hash, h[place], "right")
-            for p, a, b in zip(place[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                text = int(np.searchsorted(first, p, "right")) - 1
-                hits.update((text, int(self.item[k]), p - int(self.at[k])) for k in range(a, b))
-        best: dict[tuple[int, int], tuple[int, int, float]] = {}
-        for text, item, start in sorted(hits):
-            w = self.words[item]
+            low = np.searchsorted(self.hash, h[place])
+            count = np.searchsorted(self.hash, h[place], "right") - low
+            place, low, count = place[count > 0], low[count > 0], count[count > 0]
+            upto = np.cumsum(count)
+            at = 0
+            while at < len(place):
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+                n = count[at:stop]
+                for begin in range(0, int(n.max()), PAIRS):  # one window may have any number of items
+                    part = np.minimum(n - begin, PAIRS).clip(0)
+                    inner = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+                    there = self.place[np.repeat(low[at:stop] + begin, part) + inner].astype("i8")
+                    here = np.repeat(place[at:stop], part)
+                    item = np.searchsorted(self.first, there, "right") - 1
+                    held.append(np.unique(np.stack([np.searchsorted(first, here, "right") - 1, item, here - (there - self.first[item])]), axis=1))
+                    size += held[-1].shape[1]
+                    if size > PAIRS:
+                        self._verify(held, line, first, best)
+                        size = 0
+                at = stop
+        self._verify(held, line, first, best)
+        return [(*k, -v[2], v[0], v[1]) for k, v in sorted(best.items())]
+
+    def _verify(self, held: list[np.ndarray], line: np.ndarray, first: np.ndarray, best: dict[tuple[int, int], tuple[int, float, int]]) -> None:
+        """Compares the aligned words of the held alignments and keeps the best overlaps."""
+        found = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((3, 0), "i8")
+        held.clear()
+        for text, item, start in found.T.tolist():
+            w = self.line[self.first[item] : self.first[item + 1]]
             low, high = max(start, int(first[text])), min(start + len(w), int(first[text + 1]))
             size = min(PASSAGE, len(w))
             if high - low < size:
@@ -121,10 +163,9 @@ class Items:
             runs = np.flatnonzero(sums[size:] - sums[:-size] >= need)
             if len(runs):
                 a, b = int(runs[0]), int(runs[-1]) + size
-                found = (low + a - int(first[text]), b - a, float(equal[a:b].mean()))
-                if (text, item) not in best or found[1:] > best[text, item][1:]:
-                    best[text, item] = found
-        return [(*k, *v) for k, v in sorted(best.items())]
+                value = (b - a, float(equal[a:b].mean()), int(first[text]) - low - a)
+                if (text, item) not in best or value > best[text, item]:
+                    best[text, item] = value
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -148,8 +189,9 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, first_word long, n_words long, matched double"
+    path = fresh_path(spark, "overlaps")
     out = None
-    for block in blocks(benchmark):
+    for number, block in enumerate(blocks(benchmark)):
         sent = spark.sparkContext.broadcast(block)
 
         def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -165,8 +207,13 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     )
 
         found = documents.select("doc_id", whole_text().alias("text")).mapInArrow(searched, schema)
-        out = found if out is None else stored(out, "overlaps").union(found)
-    return spark.createDataFrame([], schema) if out is None else out
+        if number:  # the block before waits to be written only if it was not the last
+            out.write.mode("append").parquet(path)
+        out = found
+        written = number
+    if out is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).union(out) if written else out
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
