@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+_made: list[str] = []
+_marked: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,19 +25,50 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    """Spark's own file system for a path, and the path as it takes it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """This application's folder in the one that driver and executors share, spark.checkpoint.dir; it goes when the driver
+    ends. Where the setting is missing, a local folder takes its place if driver and executors are one process; on a
+    cluster that is an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.gettempdir()}/termini-shared-{os.getpid()}"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{context.applicationId}"
+    own = f"{folder.rstrip('/')}/{context.applicationId}"
+    if own not in _marked:
+        files, path = _file_system(spark, own)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(own)
+    return own
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made() -> int:
+    """How many paths fresh_path has given so far."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what was written to the paths that fresh_path gave after the first `since`, but for those to keep."""
+    for path in _made[since:]:
+        if path not in keep:
+            delete(spark, path)
+    _made[since:] = keep
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -44,8 +80,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared storage through Spark's own file system layer."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, path = _file_system(spark, path)
+    files.delete(path, True)
 
 
 def chained(keys: DataFrame, order: list[str], carry: str | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 1. Fingerprints: XXH64 of all word shingles, repeats included, then a majority for each bit.
 2. Equal fingerprints collapse to one row before anything is compared, so copies cost nothing more.
-3. Two fingerprints with at most D differing bits agree wholly on BLOCKS - D of BLOCKS blocks of bits. For each choice of
-   such blocks (a table), fingerprints meet those with equal bits there. Any link is found in some table.
+3. Two fingerprints with at most D differing bits agree wholly on B - D of B blocks of bits. For each choice of such blocks
+   (a table), fingerprints meet those with equal bits there. Any link is found in some table, whatever B: with more
+   fingerprints B grows (blocks_for), since wider keys hold fewer chance neighbours; the links are the same.
 4. Inside a task, the fingerprints of a key are sorted by Gray rank, so neighbours share many bits. Each FAN of them become
    a node: the bits they all share (mask and pattern); nodes form upper nodes in the same way. The index is joined with
    itself from the top: the bits in which two nodes' shared patterns differ are differences of all pairs below them, so a
@@ -21,15 +22,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, fresh_path, same, stored, whole_text
+from .common import clear, fresh_path, made, same, stored, whole_text
 
-WORDS, D, BLOCKS, FAN, HOT, SEED = 4, 4, 6, 8, 4096, 42
+WORDS, D, FAN, HOT, SEED = 4, 4, 8, 4096, 42
+PAIR_COST = 1 / 32  # of a pair under one key, whole groups of which are pruned, against a row dealt to its key
 FLUSH, FRONTIER = 100_000, 400_000
 
 
@@ -197,17 +200,24 @@ def linked(key: np.ndarray, fp: np.ndarray, most: int = D) -> tuple[np.ndarray,
     return np.concatenate([u for u, _ in out]), np.concatenate([v for _, v in out])
 
 
-def _tables(most: int) -> list[int]:
-    """The bit masks: for each choice of BLOCKS - most blocks, their bits."""
-    cut = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
+def blocks_for(n: int, most: int = D) -> int:
+    """The number of blocks that costs least for n fingerprints: rows dealt to keys, and pairs that agree on a key by chance."""
+    cost = lambda b: comb(b, most) * (n + PAIR_COST * n * n / 2.0 ** (64 * (b - most) // b) / 2)
+    return min(range(most + 2, most + 9), key=cost)
+
+
+def _tables(most: int, blocks: int) -> list[int]:
+    """The bit masks: for each choice of blocks - most blocks, their bits."""
+    cut = [round(64 * k / blocks) for k in range(blocks + 1)]
     block = [(1 << b) - (1 << a) for a, b in zip(cut, cut[1:], strict=False)]
-    masks = [sum(block[k] for k in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - most)]
+    masks = [sum(block[k] for k in chosen) for chosen in combinations(range(blocks), blocks - most)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(distinct: DataFrame, most: int = D) -> DataFrame:
+def links(distinct: DataFrame, most: int = D, blocks: int | None = None) -> DataFrame:
     """Edges (u, v), u < v, between the distinct fingerprints (column fp): they connect what links within most bits do."""
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(_tables(most))])
+    tables = _tables(most, blocks or blocks_for(distinct.count(), most))
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(tables)])
     keyed = distinct.select(F.explode(keys).alias("key"), "fp")
     counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     counted = stored(counted, "hot-keys")
@@ -238,20 +248,20 @@ def links(distinct: DataFrame, most: int = D) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for each node of the edges (u, v), u < v. Alternating star rounds;
-    each is stored in the shared folder and the one before deleted."""
+    each is stored in the shared folder, and what the round before stored is deleted."""
     spark = edges.sparkSession
-    state, size = None, None
+    size = None
     now = edges
+    since = made()
     while True:
         path = fresh_path(spark, "edges")
         now.write.parquet(path)
+        clear(spark, since, (path,))
         now = spark.read.parquet(path)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state:
-            delete(spark, state)
         if sign == size:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        state, size = path, sign
+        size = sign
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v").where("u < v").distinct()
@@ -263,15 +273,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def clustered(documents: DataFrame, words: int = WORDS, most: int = D) -> DataFrame:
     """doc_id, text_hash, fp, root (a fingerprint of the component, the same for all its rows) and component_id of each row."""
+    spark = documents.sparkSession
     hashed = stored(fingerprints(documents, words), "fingerprints")
+    path, since = fresh_path(spark, "places"), made()
     reps = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(links(reps.select("fp"), most))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked_reps = stored(roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "rep"), "linked")
     least = stored(linked_reps.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
     moved = linked_reps.join(least, "root").select("fp", "root", "component_id")
-    places = stored(reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id")), "places")
-    return hashed.join(places, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id")).write.parquet(path)
+    clear(spark, since)
+    return hashed.join(spark.read.parquet(path), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def op6(documents: DataFrame) -> DataFrame:

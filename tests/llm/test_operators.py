@@ -204,9 +204,10 @@ def test_gray_index_finds_all_components():
     assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
 
 
-@pytest.mark.parametrize("hot", [4096, 4])
-def test_simhash(docs, none, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "blocks"), [(4096, 6), (4, 6), (4096, 8)])
+def test_simhash(docs, none, hot, blocks, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "blocks_for", lambda n, most: blocks)
 
     def print_of(text):
         words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
