@@ -1,15 +1,16 @@
 """Token-id files: each document's ids are one zstandard frame, compressed with a dictionary that all documents share.
 
 A folder holds `dictionary` (may be empty), one shard file for each task, in the order of doc_id, and `manifest.json`
-with the dictionary's SHA-256, the end id and for each shard its file, rows and the ids before it. A shard is
+with the dictionary's SHA-256, the end id and for each shard its file, rows, the ids before it and its first and last doc_id
+(null: only documents without one). A shard is
 
     "TIDS" | width 2 or 4 | dictionary SHA-256 (32 bytes) | frames | index | index offset u64 | rows u64 | "TIDS"
 
 where the index has doc_id i64, known u8 (0: doc_id is null), n_tokens u32 and the frame's offset u64 (rows + 1 of them),
-each an array. A frame holds the ids as little-endian unsigned integers of the width. One document costs one index look-up
-and one frame (read_one).
+each an array. A frame holds the ids as little-endian unsigned integers of the width. One document costs the index of the
+shard whose range it falls in, and one frame (read_one). The folder is a URI that pyarrow knows; s3a:// is read as s3://.
 
-Null text: empty, so its ids are the end id alone. Null doc_id: sorted first, kept. Rows with equal doc_id: in the order
+Null text: empty, so its ids are the end id alone. doc_id must cast to long; null doc_id: sorted first, kept. Rows with equal doc_id: in the order
 of their frames' hash. An empty table gives a folder without shards and no rows. Other columns are not written.
 
 Tasks write under names of their own attempt and report them; only reported files enter the manifest, so a task that is
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -78,12 +80,15 @@ class Encoder:
 
 
 def train_dictionary(documents: DataFrame, path: str) -> bytes:
-    """A dictionary from about SAMPLE_DOCS documents of SAMPLE_CHARS at most, chosen by hash so that no more than these
-    reach the driver. It only affects the size of the files. Empty where there is too little to train on."""
+    """A dictionary from about SAMPLE_DOCS documents, chosen by hash; of a text over SAMPLE_CHARS a piece of that length from
+    a place chosen by hash, so that no more than these reach the driver. It only affects the size of the files. Empty where
+    there is too little to train on."""
     import zstandard
 
     chance = min(1.0, SAMPLE_DOCS / max(documents.count(), 1))
-    rows = documents.select(whole_text().alias("text")).where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < chance * (1 << 32)))
+    rows = documents.select(whole_text().alias("text"), F.xxhash64("doc_id", "text").alias("h")).where(F.pmod("h", F.lit(1 << 32)) < chance * (1 << 32))
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    rows = rows.select(F.substring("text", (F.pmod(F.shiftrightunsigned("h", 32), spare + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, Encoder.at(path).encode(sorted(r.text for r in rows.collect())), level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -98,7 +103,7 @@ def _codec(dictionary: bytes):
 
 
 def _where(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> dict:
@@ -151,16 +156,18 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
                     out.write(array.tobytes())
                 out.write(struct.pack("<QQ", int(offsets[-1]), len(counts)) + MAGIC)
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([name]), pa.array([len(counts)]), pa.array([int(counts.sum(dtype="u8"))])], ["number", "file", "rows", "tokens"])
+            mine = np.concatenate(ids)[np.concatenate(known).astype(bool)]
+            ends = [pa.array([int(mine[k])] if len(mine) else [None], pa.int64()) for k in (0, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([name]), pa.array([len(counts)]), pa.array([int(counts.sum(dtype="u8"))]), *ends], ["number", "file", "rows", "tokens", "first", "last"])
         else:
             files.delete_file(f"{top}/{name}")
 
     ordered = spark.read.parquet(staged).repartitionByRange(F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "frame").select("doc_id", "n_tokens", "frame")
-    shards = sorted(ordered.mapInArrow(shard, "number long, file string, rows long, tokens long").collect())  # a row for each shard
+    shards = ordered.mapInArrow(shard, "number long, file string, rows long, tokens long, first long, last long").collect()  # a row for each shard
     delete(spark, staged)
     before, entries = 0, []
-    for row in shards:
-        entries.append({"file": row.file, "rows": row.rows, "before": before})
+    for row in sorted(shards, key=lambda r: r.number):
+        entries.append({"file": row.file, "rows": row.rows, "before": before, "first": row["first"], "last": row["last"]})
         before += row.tokens
     manifest = {"dictionary": digest.hex(), "end_id": end_id, "tokens": before, "shards": entries}
     files, top = _where(folder)
@@ -213,8 +220,11 @@ def read_manifest(folder: str) -> dict:
 
 def read_one(folder: str, doc_id: int) -> np.ndarray | None:
     """The ids of one document, end id included (of the first one with this id; None if there is none)."""
-    dictionary = _dictionary(folder)
+    dictionary = None
     for entry in read_manifest(folder)["shards"]:
+        if entry["first"] is None or not entry["first"] <= doc_id <= entry["last"]:
+            continue
+        dictionary = _dictionary(folder) if dictionary is None else dictionary
         shard = Shard(folder, entry, dictionary)
         found = np.flatnonzero((shard.doc_id == doc_id) & shard.known)
         if len(found):
