@@ -7,7 +7,7 @@ windows of READ_BYTES; the state is fresh in each window, so texts of any length
 texts advance together.
 
 Null text, or a text without any letter: `und`, score 0. Without a learnable row (no language, empty table) every
-prediction is `und`. Null doc_id counts as the empty string for the fold. Repeated rows: each predicted. Extra columns are
+prediction is `und`, and accepted() rejects only texts without a letter. Null doc_id counts as the empty string for the fold. Repeated rows: each predicted. Extra columns are
 not carried by predicted() and all kept by accepted()."""
 
 from __future__ import annotations
@@ -239,7 +239,10 @@ def predicted(documents: DataFrame, network: Network | None) -> DataFrame:
 
 
 def accepted(documents: DataFrame, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """documents whose language is known: not `und`, score at least `least`. All columns stay; nothing is shuffled."""
+    """documents whose language is known: not `und`, score at least `least`. All columns stay; nothing is shuffled. Where no
+    label was there to learn from, no text can be rejected for its score, and all texts with a letter stay."""
+    if network is None:
+        return documents.where(_has_letter(F.col("text")))
     sent = documents.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")
