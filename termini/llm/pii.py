@@ -6,9 +6,15 @@ entity's information that the term discloses is
 
     PMI(t;c) / IC(c) = log2(N n(t,c) / (n(t) n(c))) / log2(N / n(c))
 
-A term that reaches GENERALISE is replaced by a general tag, one that reaches REMOVE is removed, everywhere in the
-documents with the entity, however few they are. Documents without an entity are never changed. An entity of all documents
-carries no information, so nothing discloses it. Base matches count as white space when terms are read.
+A term that reaches GENERALISE is generalised, one that reaches REMOVE is removed, everywhere in the documents with the
+entity, however few they are. In a document without the entity a term is generalised if it reaches REMOVE with n(t,c) - 1 in
+place of n(t,c): one document in which both stand is no evidence about another one. An entity of all documents carries no
+information, so nothing discloses it.
+
+A term is generalised to a broader one that the corpus gives: of the terms that disclose none of a document's entities, the
+rarest is the document's own; a term takes the rarest of these from the documents that it shares with the entity. It is
+always more frequent than the term. Where no document has one, the tag [TERM] stands instead. Base matches count as white
+space when terms are read.
 
 Nulls, empty texts and empty tables: a null text is empty; an empty text has no span; no rows give no rows. Repeated rows
 each get the same result. Rows are told apart by doc_id (null is an id too) and text. Extra columns are ignored by
@@ -24,7 +30,7 @@ from .common import same, stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 TAGS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
-GENERALISE, REMOVE, BLOCK = 0.85, 0.95, 128
+GENERALISE, REMOVE, BLOCK, SALTS = 0.85, 0.95, 128, 16
 
 # Possessive forms of the contract's patterns: they match the same spans without backtracking over long runs. A match can
 # only begin where a run of its class begins, or where the last match ended (\G).
@@ -104,14 +110,16 @@ def _blanked(text: Column, spans: Column) -> Column:
 
 
 def _terms(text: Column, spans: Column) -> Column:
-    """The distinct terms (hashes) of text beside its base spans."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(_blanked(text, spans)), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+    """The distinct terms of text beside its base spans, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(_blanked(text, spans)), F.lit(TERM), F.lit(0)))
 
 
-def _term_spans(text: Column, spans: Column, general: Column, removed: Column) -> Column:
-    """The spans of the terms whose hashes are in general or removed. Places are summed in blocks of BLOCK terms, then over
+def _term_spans(text: Column, spans: Column, verdicts: Column) -> Column:
+    """The spans of the terms of verdicts (array of term, a hash, and word, the broader term or null for a term to remove);
+    a generalised span's value is its broader term. Places are summed in blocks of BLOCK terms, then over
     the blocks, since an array that grows term by term would cost the square of a long text's terms."""
     kept = _blanked(text, spans)
+    judged = verdicts["term"]
     let = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))
 
     def of(pairs: Column) -> Column:
@@ -130,12 +138,12 @@ def _term_spans(text: Column, spans: Column, general: Column, removed: Column) -
             block,
             F.struct(first.alias("at"), F.array().cast(SPAN).alias("spans")),
             lambda acc, x: let(
-                F.when(F.array_contains(removed, x["term"]), 5).when(F.array_contains(general, x["term"]), 4),
-                lambda kind: F.struct(
+                F.array_position(judged, x["term"]).cast("int"),
+                lambda at: F.struct(
                     (acc["at"] + x["gap"] + x["n"]).alias("at"),
                     F.when(
-                        kind.isNotNull(),
-                        F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), kind.alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"), F.lit(None).cast("string").alias("value")))),
+                        at > 0,
+                        F.concat(acc["spans"], F.array(let(F.get(verdicts, at - 1)["word"], lambda word: F.struct((acc["at"] + x["gap"]).alias("start"), F.when(word.isNull(), 5).otherwise(4).alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"), word.alias("value"))))),
                     ).otherwise(acc["spans"]).alias("spans"),
                 ),
             ),
@@ -151,55 +159,85 @@ def _entities(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["kind"], F.when(s["kind"] < 2, F.lower(s["value"])).otherwise(_digits(s["value"])))))
 
 
-def find_pii(documents: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """doc_id, __pii_key (a hash of the text), and the hashes of the terms to replace, `general` and `removed`, for each
-    document in which terms disclose an entity; a row for each doc_id and text. Base spans come from base_spans() and need
-    no row here."""
+def _verdicts(judged: DataFrame) -> DataFrame:
+    """doc_id, __pii_key and `verdicts` from rows (doc_id, __pii_key, term, remove, broader) of terms to replace. Of several
+    verdicts on a term the stricter holds, of several broader terms the most frequent."""
+    one = judged.groupBy("doc_id", "__pii_key", "term").agg(F.max("remove").alias("remove"), F.max("broader").alias("broader"))
+    word = F.when(~F.col("remove"), F.coalesce("broader.word", F.lit(TAGS[4])))
+    return one.groupBy("doc_id", "__pii_key").agg(F.collect_list(F.struct("term", word.alias("word"))).alias("verdicts"))
+
+
+def find_pii(documents: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """Two frames, for documents with base spans and for those without: doc_id, __pii_key (a hash of the text) and verdicts
+    (array of term, a hash, and word: its broader term, null where it is removed), a row for each doc_id and text that holds
+    a disclosing term. Base spans come from base_spans() and need no row here."""
     docs = documents.select("doc_id", whole_text().alias("text"))
     total = docs.count()
     none = F.array().cast(SPAN)
     docs = docs.withColumn("spans", F.when(F.col("text").rlike("[@0-9]"), base_spans(F.col("text"))).otherwise(none))
-    seen = docs.where(F.size("spans") > 0).select("doc_id", F.xxhash64("text").alias("__pii_key"), _entities(F.col("spans")).alias("entities"), _terms(F.col("text"), F.col("spans")).alias("terms"))
+    # __pii_doc numbers the rows with an entity; it is stored, so it stays what it is
+    seen = docs.where(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("__pii_doc"), "doc_id", F.xxhash64("text").alias("__pii_key"), _entities(F.col("spans")).alias("entities"), _terms(F.col("text"), F.col("spans")).alias("words"))
     seen = stored(seen, "pii-seen")
 
     n = F.lit(float(max(total, 1)))
     # n(t,c) is at most n(c), so a term of more documents than this cannot reach the threshold: no verdict changes
     most = lambda n_entity: n * F.pow(n_entity / n, F.lit(float(generalise))) * (1 + 1e-9)
     entity = stored(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") < n), "pii-entities")
-    widest = entity.agg(F.max("n_entity")).first()[0] or 0
-    term = docs.select(F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= most(F.lit(float(widest))))
-    pair = seen.select("doc_id", "__pii_key", "entities", F.explode("terms").alias("term")).join(term, "term")
-    pair = pair.select("doc_id", "__pii_key", "term", "n_term", F.explode("entities").alias("entity")).join(entity, "entity").where(F.col("n_term") <= most(F.col("n_entity")))
-    pair = stored(pair, "pii-pairs")
-
-    disclosed = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
-    rules = pair.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
-    rules = rules.withColumn("disclosed", disclosed).where(F.col("disclosed") >= generalise).select("entity", "term", (F.col("disclosed") >= remove).alias("remove"))
-    # a term may be flagged for two entities; the stricter verdict holds
-    flagged = pair.select("doc_id", "__pii_key", "entity", "term").join(rules, ["entity", "term"])
-    return flagged.groupBy("doc_id", "__pii_key").agg(F.collect_set(F.when(~F.col("remove"), F.col("term"))).alias("general"), F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("removed"))
-
-
-def with_spans(documents: DataFrame, corpus: DataFrame | None = None, **thresholds: float) -> DataFrame:
-    """documents (doc_id, text, others) with `__pii_base` and `__pii_spans`, all spans by start, then kind. The statistics
-    come from corpus, by default documents."""
+    all_words = docs.select(F.explode(_terms(F.col("text"), F.col("spans"))).alias("word"))
+    term = all_words.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("n_term"))
+    held = seen.select("__pii_doc", F.explode("words").alias("word")).withColumn("term", F.xxhash64("word")).join(term, "term")
+    held = stored(held, "pii-terms")
+    named = stored(seen.select("__pii_doc", F.explode("entities").alias("entity")).join(entity, "entity"), "pii-named")
+
+    # each document's rarest term that discloses none of its entities
+    widest = named.groupBy("__pii_doc").agg(F.max("n_entity").alias("widest"))
+    safe = held.join(widest, "__pii_doc").where(F.col("n_term") > most(F.col("widest")))
+    own = safe.groupBy("__pii_doc").agg(F.min(F.struct("n_term", "word")).alias("broader"))
+    pair = held.join(named.join(own, "__pii_doc", "left"), "__pii_doc").where(F.col("n_term") <= most(F.col("n_entity")))
+    pair = stored(pair.select("__pii_doc", "term", "n_term", "entity", "n_entity", "broader"), "pii-pairs")
+
+    disclosed = lambda both: F.log2(n * both / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
+    rules = pair.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"), F.min("broader").alias("broader"))
+    rules = rules.withColumns({"here": disclosed(F.col("n_both")), "elsewhere": F.when(F.col("n_both") > 1, disclosed(F.col("n_both") - 1))}).where(F.col("here") >= generalise)
+    rules = stored(rules.select("entity", "term", "here", "elsewhere", "broader"), "pii-rules")
+
+    # a rule meets all documents with its entity and term, so both sides are salted
+    salted = rules.select("entity", "term", (F.col("here") >= remove).alias("remove"), "broader", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    flagged = pair.select("__pii_doc", "entity", "term", F.pmod("__pii_doc", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["entity", "term", "salt"])
+    inside = flagged.join(seen.select("__pii_doc", "doc_id", "__pii_key"), "__pii_doc").select("doc_id", "__pii_key", "term", "remove", "broader")
+
+    everywhere = rules.where(F.col("elsewhere") >= remove).groupBy("term").agg(F.lit(False).alias("remove"), F.max("broader").alias("broader"))
+    everywhere = stored(everywhere, "pii-everywhere")
+    elsewhere = docs.where(F.size("spans") == 0).select("doc_id", F.xxhash64("text").alias("__pii_key"), F.explode(_terms(F.col("text"), F.col("spans"))).alias("word"))
+    elsewhere = elsewhere.select("doc_id", "__pii_key", F.xxhash64("word").alias("term")).join(everywhere, "term").select(*inside.columns)
+    others = held.join(everywhere, "term").join(seen.select("__pii_doc", "doc_id", "__pii_key"), "__pii_doc").select(*inside.columns)
+    return _verdicts(inside.unionByName(others)), _verdicts(elsewhere)
+
+
+def with_spans(documents: DataFrame, **thresholds: float) -> DataFrame:
+    """documents (doc_id, text, others) with `__pii_base` and `__pii_spans`, all spans by start, then kind. Only documents
+    with an entity, and their verdicts, meet in one join, and the others with theirs, which are few, in another."""
     docs = documents.withColumn("__pii_base", base_spans(whole_text()))
-    terms = find_pii(documents if corpus is None else corpus, **thresholds).select(F.col("doc_id").alias("__pii_id"), F.col("__pii_key").alias("__pii_hash"), F.col("general").alias("__pii_general"), F.col("removed").alias("__pii_removed"))
-    key = F.when(F.size("__pii_base") > 0, F.xxhash64(whole_text()))
-    joined = docs.withColumn("__pii_text_key", key).join(terms, same(F.col("doc_id"), F.col("__pii_id")) & (F.col("__pii_text_key") == F.col("__pii_hash")), "left")
-    found = F.when(F.col("__pii_hash").isNotNull(), _term_spans(whole_text(), F.col("__pii_base"), F.col("__pii_general"), F.col("__pii_removed"))).otherwise(F.array().cast(SPAN))
-    return joined.withColumn("__pii_spans", F.sort_array(F.concat("__pii_base", found))).drop("__pii_id", "__pii_hash", "__pii_general", "__pii_removed", "__pii_text_key")
+    holds = F.size("__pii_base") > 0
+    parts = []
+    for part, found in zip((docs.where(holds), docs.where(~holds)), find_pii(documents, **thresholds), strict=True):
+        found = found.select(F.col("doc_id").alias("__pii_id"), F.col("__pii_key").alias("__pii_hash"), F.col("verdicts").alias("__pii_verdicts"))
+        joined = part.withColumn("__pii_text_key", F.xxhash64(whole_text())).join(found, same(F.col("doc_id"), F.col("__pii_id")) & (F.col("__pii_text_key") == F.col("__pii_hash")), "left")
+        terms = F.when(F.col("__pii_hash").isNotNull(), _term_spans(whole_text(), F.col("__pii_base"), F.col("__pii_verdicts"))).otherwise(F.array().cast(SPAN))
+        parts.append(joined.withColumn("__pii_spans", F.sort_array(F.concat("__pii_base", terms))).drop("__pii_id", "__pii_hash", "__pii_verdicts", "__pii_text_key"))
+    return parts[0].unionByName(parts[1])
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind's tag; of overlapping spans the first gives the tag."""
+    """text with each span replaced by its kind's tag, a generalised one by its broader term; of overlapping spans the first
+    counts."""
     tags = F.array(*map(F.lit, TAGS))
     return F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(tags, s["kind"])))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["kind"] == 4, s["value"]).otherwise(F.get(tags, s["kind"]))))).otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
@@ -207,14 +245,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def sanitise(documents: DataFrame, **thresholds: float) -> DataFrame:
     """documents with personal data and disclosing terms replaced in text; n_chars, where there, follows. A null text stays
-    null. Documents without an entity pass untouched, so only the others are shuffled."""
-    holds = F.size(base_spans(whole_text())) > 0
-    rows = with_spans(documents.where(holds), documents, **thresholds)
+    null, and a document without a span stays as it is."""
+    rows = with_spans(documents, **thresholds)
     changed = F.size("__pii_spans") > 0
     out = rows.withColumn("text", F.when(changed, redacted(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return documents.where(~holds).unionByName(out.select(*documents.columns))
+    return out.select(*documents.columns)
 
 
 def op1(documents: DataFrame) -> DataFrame:
