@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termini.llm import decontaminate, language, pieces, pii, simhash
-from termini.llm.common import delete, fresh_path, table
+from termini.llm.common import clear, delete, fresh_path, made, table
 from termini.llm.queries import PIECE_MODEL, tokenizer_path
 
 
@@ -50,8 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES[:-1]:
-        path = fresh_path(spark, f"stage-{name}")
+        path, since = fresh_path(spark, f"stage-{name}"), made()
         stage(spark, docs, sf_dir).write.parquet(path)
+        clear(spark, since)  # what the stage stored on its way
         docs = spark.read.parquet(path)
         if before:
             delete(spark, before)
