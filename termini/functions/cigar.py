@@ -7,11 +7,16 @@ SPAN_OPS, ANCHOR_OPS = "MDN=X", "M=X"
 
 
 def operations(cigar: Column) -> Column:
-    """ARRAY<STRUCT<n BIGINT, op STRING>>; what is no operation is skipped, '' and '*' give none."""
-    pattern = "([0-9]+)([MIDNSHP=X])"
-    count = F.regexp_extract_all(cigar, F.lit(pattern), F.lit(1))
-    code = F.regexp_extract_all(cigar, F.lit(pattern), F.lit(2))
-    return F.zip_with(count, code, lambda n, op: F.struct(n.cast("long").alias("n"), op.alias("op")))
+    """ARRAY<STRUCT<n BIGINT, op STRING>>, by one match over the text; what is no operation is skipped, '' and '*' give none."""
+    found = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.left(x, F.length(x) - 1).cast("long").alias("n"), F.right(x, F.lit(1)).alias("op")))
+
+
+def measured(cigar: Column) -> Column:
+    """One-element ARRAY<STRUCT<span, anchor, left_clip, right_clip>>. inline() of it is a barrier: predicates on the four
+    stay above, so that the text is taken apart once for each row, however often they are used."""
+    parts = lambda ops: F.struct(reference_span(ops).alias("span"), anchor(ops).alias("anchor"), left_clip(ops).alias("left_clip"), right_clip(ops).alias("right_clip"))
+    return F.transform(F.array(operations(cigar)), parts)
 
 
 def total(ops: Column, codes: str) -> Column:
@@ -28,10 +33,10 @@ def anchor(ops: Column) -> Column:
 
 def left_clip(ops: Column) -> Column:
     first = F.get(ops, F.lit(0))
-    return F.when(first["op"] == "S", first["n"]).otherwise(0)
+    return F.when(first["op"] == "S", first["n"]).otherwise(F.lit(0).cast("long"))
 
 
 def right_clip(ops: Column) -> Column:
     """The last operation if it is a soft clip; a single operation counts on the left only."""
     last = F.get(ops, F.size(ops) - 1)
-    return F.when((F.size(ops) > 1) & (last["op"] == "S"), last["n"]).otherwise(0)
+    return F.when((F.size(ops) > 1) & (last["op"] == "S"), last["n"]).otherwise(F.lit(0).cast("long"))

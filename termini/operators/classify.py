@@ -11,6 +11,9 @@ from ..functions import cigar as C
 from ..functions import motifs as M
 
 
+BUCKETS = ("malformed", "unmapped", "secondary", "no_clip", "unknown_contig", "min_anchor", "max_break", "min_clip")
+
+
 @dataclass(frozen=True)
 class Limits:
     """The command-line defaults."""
@@ -27,9 +30,9 @@ def geometry(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
 
     The contig index joins without a hint: Catalyst broadcasts it while it is small and sorts otherwise."""
     index = contigs.select(F.col("contig").alias("rname"), F.col("contig_length").cast("long"), "contig_ord")
-    rows = alignments.join(index, "rname", "left").withColumn("ops", C.operations(F.col("cigar")))
-    rows = rows.withColumns({"span": C.reference_span(F.col("ops")), "anchor": C.anchor(F.col("ops")), "left_clip": C.left_clip(F.col("ops")), "right_clip": C.right_clip(F.col("ops"))})
-    rows = rows.withColumn("aln_end", F.col("pos") + F.col("span") - 1).drop("ops")
+    rows = alignments.join(index, "rname", "left")
+    rows = rows.select("*", F.inline(C.measured(F.coalesce("cigar", F.lit("")))))
+    rows = rows.withColumn("aln_end", F.col("pos") + F.col("span") - 1)
     return rows.withColumns({"gap_left": F.col("pos").cast("long") - 1, "gap_right": F.col("contig_length") - F.col("aln_end")})
 
 
@@ -79,8 +82,8 @@ def motif_hit(patterns: dict[str, str], repeats: int = 1, anywhere: bool = False
 
 
 def filtered(classified: DataFrame, patterns: dict[str, str] | None = None, repeats: int = 1, anywhere: bool = False) -> DataFrame:
-    """The rows that the filter passes on."""
-    kept = classified.where(F.col("bucket") == "kept")
+    """The rows that the filter passes on. What flag and shape say is asked again, since these two reach the scan."""
+    kept = classified.where((F.col("flag").bitwiseAND(4) == 0) & _shape() & (F.col("bucket") == "kept"))
     return kept.where(motif_hit(patterns, repeats, anywhere)) if patterns else kept
 
 
@@ -92,6 +95,23 @@ def buckets(classified: DataFrame, patterns: dict[str, str] | None = None, repea
     return classified.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def counters(classified: DataFrame, malformed: DataFrame | None = None, patterns: dict[str, str] | None = None, repeats: int = 1, anywhere: bool = False) -> DataFrame:
+    """One row: processed, kept (before motifs), both (kept at both ends of a contig), output, motif (null without
+    patterns), removed, and a counter for each bucket. malformed: lines that are no alignment, which count as processed."""
+    is_kept = F.col("bucket") == "kept"
+    passed = is_kept & motif_hit(patterns, repeats, anywhere) if patterns else is_kept
+    each = [F.count_if(F.col("bucket") == name).alias(f"excluded_{name}") for name in BUCKETS]
+    both = F.count_if(is_kept & F.col("left_reason").isNull() & F.col("right_reason").isNull())
+    one = classified.agg(F.count("*").alias("n"), F.count_if(is_kept).alias("kept"), both.alias("both"), F.count_if(passed).alias("output"), *each)
+    lines = malformed.agg(F.count("*").alias("lines")) if malformed is not None else classified.sparkSession.range(1).select(F.lit(0).cast("long").alias("lines"))
+    one = one.crossJoin(lines)  # one row each
+    known = [F.col(f"excluded_{name}") + (F.col("lines") if name == "malformed" else 0) for name in BUCKETS]
+    return one.select(
+        (F.col("n") + F.col("lines")).alias("processed"), "kept", "both", "output", (F.col("output") if patterns else F.lit(None).cast("long")).alias("motif"), (F.col("n") + F.col("lines") - F.col("output")).alias("removed"),
+        *[c.alias(f"excluded_{name}") for c, name in zip(known, BUCKETS, strict=True)], (F.col("kept") - F.col("output")).alias("excluded_motifs"),
+    )
+
+
 def ends(classified: DataFrame) -> DataFrame:
     """Two rows for each alignment, one for each contig end, with its verdict."""
     side = lambda end, clip, gap, reason, seq: F.struct(F.lit(end).alias("end"), F.col(clip).alias("clip_length"), F.col(gap).alias("gap"), F.col(reason).alias("reason"), seq.alias("clip_seq"))

@@ -13,10 +13,12 @@ TIES = ("pos", "qname")
 
 
 def _banded(overhangs: DataFrame, min_extension: int) -> DataFrame:
-    """Candidates with `band`: how many margins below the end's best gain. The best is taken before any other filter."""
-    best = F.max("net_gain").over(W.partitionBy(*END))
-    margin = F.greatest(F.lit(10), F.floor(F.lit(0.05) * best)).cast("long")
-    return overhangs.where(F.col("net_gain") >= min_extension).withColumn("band", F.floor((best - F.col("net_gain")) / margin))
+    """Candidates with `band`: how many margins below the end's best gain. The best is taken before any other filter, by a
+    grouping that needs two columns only; its row for each end joins back."""
+    rows = overhangs.where(F.col("net_gain") >= min_extension)
+    best = rows.groupBy(*END).agg(F.max("net_gain").alias("best"))
+    margin = F.greatest(F.lit(10), F.floor(F.lit(0.05) * F.col("best"))).cast("long")
+    return rows.join(best, list(END)).withColumn("band", F.floor((F.col("best") - F.col("net_gain")) / margin)).drop("best")
 
 
 def _order() -> list[Column]:
@@ -31,10 +33,12 @@ def ranked(overhangs: DataFrame, min_extension: int = 1) -> DataFrame:
 
 
 def best(overhangs: DataFrame, min_extension: int = 1, max_homopolymer: int = 500) -> DataFrame:
-    """The first ranked candidate of each end whose clip has no homopolymer run of max_homopolymer or more."""
+    """The first ranked candidate of each end whose clip has no homopolymer run of max_homopolymer or more. An aggregate, so
+    that each partition sends on one candidate for each end, whatever number of reads an end has."""
     rows = _banded(overhangs, min_extension).where(~M.has_homopolymer(F.col("clip_seq"), max_homopolymer))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*END).orderBy(*_order())))
-    return rows.where("rank = 1").drop("rank")
+    order = F.struct(F.col("band"), F.col("clip_length") - F.col("net_gain"), -F.col("net_gain"), -F.col("clip_length"), *TIES)
+    others = [c for c in rows.columns if c not in END]
+    return rows.groupBy(*END).agg(F.min_by(F.struct(*others), order).alias("first")).select(*END, "first.*")
 
 
 def rejected_homopolymers(overhangs: DataFrame, max_homopolymer: int = 500) -> DataFrame:
@@ -72,18 +76,40 @@ def apply_extensions(planned: DataFrame, sequences: DataFrame) -> DataFrame:
     """contig, contig_ord, original_length, extended (the sequence), final_length, net_gain, left_gain, right_gain, status.
 
     Left first, then right on the result, so that overlapping trims on tiny contigs work as one after the other. A side
-    that would not make the contig longer is not applied. Contigs without a sequence are left out."""
-    rows = planned.join(sequences.select("contig", "seq"), "contig")
+    that does not pass validated() is not applied; extension_warnings() tells of it. Contigs without a sequence are left
+    out."""
+    rows = _applied(planned, sequences)
     size = F.length("seq")
-    left = F.concat("left_clip", F.substring("seq", F.col("left_trim").cast("int") + 1, size))
-    left_ok = F.col("left_read").isNotNull() & (F.length(left) > size)
-    rows = rows.withColumn("after_left", F.when(left_ok, left).otherwise(F.col("seq")))
+    status = F.when(F.col("left_ok") & F.col("right_ok"), "both").when(F.col("left_ok"), "left").when(F.col("right_ok"), "right").otherwise("no")
+    return rows.select("contig", "contig_ord", size.cast("long").alias("original_length"), "extended", F.length("extended").cast("long").alias("final_length"), (F.length("extended") - size).cast("long").alias("net_gain"), (F.length("after_left") - size).cast("long").alias("left_gain"), (F.length("extended") - F.length("after_left")).cast("long").alias("right_gain"), status.alias("status"))
+
+
+def validated(original: Column, extended: Column, clip: Column, trim: Column, left: bool) -> Column:
+    """Is an extension right? The clip stands at its end, what trimming leaves of the original is still there, and the
+    result is longer than the untrimmed original."""
+    kept = F.greatest(F.length(original) - trim.cast("int"), F.lit(0))
+    retained = F.right(original, kept) if left else F.left(original, kept)
+    stands = extended.startswith(clip) if left else extended.endswith(clip)
+    return stands & extended.contains(retained) & (F.length(extended) > F.length(original))
+
+
+def extension_warnings(planned: DataFrame, sequences: DataFrame) -> DataFrame:
+    """contig, contig_ord, warning: a row for each side that was planned and not applied, also where both were not."""
+    rows = _applied(planned, sequences)
+    said = lambda side, word: F.when(F.col(f"{side}_read").isNotNull() & ~F.col(f"{side}_ok"), F.concat(F.lit(f"the {word} end of "), "contig", F.lit(" is not extended: the overhang of "), f"{side}_read", F.lit(" would not make it longer")))
+    return rows.select("contig", "contig_ord", F.explode(F.array_compact(F.array(said("left", "left"), said("right", "right")))).alias("warning"))
+
+
+def _applied(planned: DataFrame, sequences: DataFrame) -> DataFrame:
+    """planned with seq, after_left, extended, left_ok and right_ok."""
+    rows = planned.join(sequences.select("contig", "seq"), "contig")
+    left = F.concat("left_clip", F.substring("seq", F.col("left_trim").cast("int") + 1, F.length("seq")))
+    rows = rows.withColumn("left_ok", F.col("left_read").isNotNull() & validated(F.col("seq"), left, F.col("left_clip"), F.col("left_trim"), True))
+    rows = rows.withColumn("after_left", F.when(F.col("left_ok"), left).otherwise(F.col("seq")))
     keep = F.greatest(F.length("after_left") - F.col("right_trim").cast("int"), F.lit(0))
     right = F.concat(F.left("after_left", keep), "right_clip")
-    right_ok = F.col("right_read").isNotNull() & (F.length(right) > F.length("after_left"))
-    rows = rows.withColumn("extended", F.when(right_ok, right).otherwise(F.col("after_left")))
-    status = F.when(left_ok & right_ok, "both").when(left_ok, "left").when(right_ok, "right").otherwise("no")
-    return rows.select("contig", "contig_ord", size.cast("long").alias("original_length"), "extended", F.length("extended").cast("long").alias("final_length"), (F.length("extended") - size).cast("long").alias("net_gain"), (F.length("after_left") - size).cast("long").alias("left_gain"), (F.length("extended") - F.length("after_left")).cast("long").alias("right_gain"), status.alias("status"))
+    rows = rows.withColumn("right_ok", F.col("right_read").isNotNull() & validated(F.col("after_left"), right, F.col("right_clip"), F.col("right_trim"), False))
+    return rows.withColumn("extended", F.when(F.col("right_ok"), right).otherwise(F.col("after_left")))
 
 
 def gains(planned: DataFrame, applied: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import cigar as C
 from ..operators.extend import END
@@ -26,35 +27,43 @@ def segments(cigar: Column, pos: Column) -> Column:
     return F.aggregate(C.operations(cigar), start, walk, lambda acc: acc["out"])
 
 
-def windows(overhangs: DataFrame, least: int = WINDOW, most: int = MOST_WINDOW) -> DataFrame:
-    """How many reference bases are drawn at each contig end: at least `least` or the longest anchor, at most `most` or the contig."""
-    longest = overhangs.groupBy(*END).agg(F.max("anchor").alias("longest"), F.max("contig_length").alias("size"))
-    return longest.select(*END, F.greatest(F.lit(1), F.least("size", F.lit(most), F.greatest(F.lit(least), "longest"))).cast("long").alias("drawn"))
+RUN = "array<struct<kind:string,inserted:boolean,off:bigint,n:bigint,idx:bigint>>"
+
+
+def drawn(least: int = WINDOW, most: int = MOST_WINDOW) -> Column:
+    """How many reference bases are drawn at each contig end: at least `least` or the longest anchor of the reads that are
+    drawn, at most `most` or the contig."""
+    end = W.partitionBy(*END)
+    return F.greatest(F.lit(1), F.least(F.max("contig_length").over(end), F.lit(most), F.greatest(F.lit(least), F.max("anchor").over(end)))).cast("long")
 
 
 def cells(overhangs: DataFrame, least: int = WINDOW, most: int = MOST_WINDOW, most_clip: int = MOST_CLIP) -> DataFrame:
-    """contig, end, qname, pos, off, ins, base, kind (anchor or clip) of every base in the window. Runs are cut to the window
-    before they are taken apart, so a long read costs no more than a short one. Reads without a sequence have no rows."""
+    """contig, end, qname, pos, off, ins, base, kind (anchor or clip) of every base in the window, for the reads that a report
+    draws. A read becomes its runs of bases, cut to the window, and these are taken apart, so a long read costs no more than
+    a short one and reads are read once. Reads without a sequence have no rows."""
     used = [*END, "qname", "pos", "aln_end", "contig_length", "cigar", "seq", "clip_seq"]
-    rows = overhangs.where(F.length("seq") > 0).select(*used).join(windows(overhangs, least, most), list(END))
+    rows = overhangs.where(F.length("seq") > 0).select(*used, "anchor").withColumn("drawn", drawn(least, most))
     left = F.col("end") == "L"
     rows = rows.withColumn("origin", F.when(left, F.lit(1).cast("long")).otherwise(F.col("contig_length")))
     rows = rows.withColumns({"lo": F.when(left, F.col("origin")).otherwise(F.col("origin") - F.col("drawn") + 1), "hi": F.when(left, F.col("origin") + F.col("drawn") - 1).otherwise(F.col("origin"))})
-    names = ["contig", "end", "qname", "pos"]
-    parts = rows.select(*names, "seq", "origin", "lo", "hi", F.explode(segments(F.col("cigar"), F.col("pos"))).alias("s"))
-    first, last = F.greatest("s.ref", "lo"), F.least(F.col("s.ref") + F.col("s.n") - 1, F.col("hi"))
-    at = parts.where(F.col("s.op").isin(*C.ANCHOR_OPS) & (first <= last)).withColumn("p", F.explode(F.sequence(first, last)))
-    base = lambda index: F.substring("seq", (index + 1).cast("int"), 1)
-    anchored = at.select(*names, (F.col("p") - F.col("origin")).alias("off"), F.lit(0).alias("ins"), base(F.col("s.read") + F.col("p") - F.col("s.ref")).alias("base"), F.lit("anchor").alias("kind"))
-    before = F.col("s.ref") - 1
-    held = parts.where((F.col("s.op") == "I") & before.between(F.col("lo"), F.col("hi"))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("s.n").cast("int"))))
-    inserted = held.select(*names, (before - F.col("origin")).alias("off"), F.col("k").alias("ins"), base(F.col("s.read") + F.col("k") - 1).alias("base"), F.lit("anchor").alias("kind"))
-    clip = F.when(left, F.right("clip_seq", F.lit(most_clip))).otherwise(F.left("clip_seq", F.lit(most_clip)))
-    clips = rows.withColumn("clip", clip).where(F.length("clip") > 0)
+    rows = rows.withColumn("clip", F.when(left, F.right("clip_seq", F.lit(most_clip))).otherwise(F.left("clip_seq", F.lit(most_clip))))
+
+    def run(kind: str, inserted: bool, off: Column, n: Column, idx: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(inserted).alias("inserted"), off.cast("long").alias("off"), n.cast("long").alias("n"), idx.cast("long").alias("idx"))
+
+    def of(s: Column) -> Column:
+        first, last = F.greatest(s["ref"], F.col("lo")), F.least(s["ref"] + s["n"] - 1, F.col("hi"))
+        held = (s["op"] == "I") & (s["ref"] - 1).between(F.col("lo"), F.col("hi"))
+        return F.when(s["op"].isin(*C.ANCHOR_OPS), run("anchor", False, first - F.col("origin"), last - first + 1, s["read"] + first - s["ref"])).when(held, run("anchor", True, s["ref"] - 1 - F.col("origin"), s["n"], s["read"]))
+
     begin = F.when(left, F.col("pos") - F.col("origin") - F.length("clip")).otherwise(F.col("aln_end") - F.col("origin") + 1)
-    clips = clips.select(*names, begin.cast("long").alias("begin"), F.posexplode(F.split("clip", "")).alias("k", "base")).where("base <> ''")
-    clipped = clips.select(*names, (F.col("begin") + F.col("k")).alias("off"), F.lit(0).alias("ins"), "base", F.lit("clip").alias("kind"))
-    return anchored.unionByName(inserted).unionByName(clipped).where("base <> ''")
+    clipped = F.array(run("clip", False, begin, F.length("clip"), F.lit(0)))
+    runs = F.concat(F.transform(segments(F.col("cigar"), F.col("pos")), of).cast(RUN), clipped.cast(RUN))
+    parts = rows.select(*END, "qname", "pos", "seq", "clip", F.explode(F.filter(runs, lambda r: r["n"] > 0)).alias("r"))
+    placed = parts.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r.n") - 1)))
+    base = F.substring(F.when(F.col("r.kind") == "clip", F.col("clip")).otherwise(F.col("seq")), (F.col("r.idx") + F.col("k") + 1).cast("int"), 1)
+    off = F.when(F.col("r.inserted"), F.col("r.off")).otherwise(F.col("r.off") + F.col("k"))
+    return placed.select(*END, "qname", "pos", off.alias("off"), F.when(F.col("r.inserted"), F.col("k") + 1).otherwise(0).cast("int").alias("ins"), base.alias("base"), F.col("r.kind").alias("kind")).where("base <> ''")
 
 
 def columns(placed: DataFrame) -> DataFrame:
