@@ -3,12 +3,12 @@
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-LEAST_SURVIVAL = 1e-12
+LEAST_SURVIVAL, END_SURVIVAL = 1e-12, 1e-9
+FAR, TERMS = 9.0, 160  # of the series of the normal distribution
 
 
 class CutoffError(ValueError):
@@ -20,12 +20,11 @@ def normal_cdf(x: float) -> float:
 
 
 def normal_cdf_column(x: Column) -> Column:
-    """Exact; Spark has no error function."""
-
-    def exact(values: pd.Series) -> pd.Series:
-        return values.map(normal_cdf)
-
-    return F.pandas_udf(exact, "double")(x)
+    """Spark has no error function; this is the series 1/2 + phi(x) (x + x^3/3 + x^5/15 + ...) from its last term on, exact to
+    1e-15. Beyond FAR the result is 0 or 1 to that precision."""
+    z = F.least(F.greatest(x, F.lit(-FAR)), F.lit(FAR))
+    series = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), F.lit(1.0), lambda acc, k: 1.0 + z * z / (2 * k + 1) * acc)
+    return 0.5 + z * series * F.exp(-z * z / 2.0) / math.sqrt(2.0 * math.pi)
 
 
 @dataclass(frozen=True)
@@ -102,17 +101,39 @@ def relative_coverage(positions: DataFrame, lengths: Fixed | Lognormal, cutoff:
     return positions.withColumn("c", F.when(a <= cutoff, a).otherwise(inside / kept) / mean)
 
 
-def quadrature_coverage(spark: SparkSession, top: int, lengths: Fixed | Lognormal, cutoff: float = 0.0, nodes: int = 2048) -> DataFrame:
-    """The same curve from the integral of the survival function: E[min(a, l)] = integral of S(t) from 0 to a, by the
-    trapezoid rule on an even grid, summed along; x are the grid's own positions."""
+def upper_end(top: float, lengths: Fixed | Lognormal, cutoff: float = 0.0) -> float:
+    """Where integrals end: doubled from the largest point on until hardly a fragment is longer."""
+    upper = max(top, cutoff, 1.0)
+    while lengths.survival(upper) >= END_SURVIVAL:
+        upper *= 2.0
+    return upper
+
+
+def quadrature_coverage(positions: DataFrame, lengths: Fixed | Lognormal, cutoff: float = 0.0, nodes: int = 8192, upper: float | None = None) -> DataFrame:
+    """positions (x) with c by the integral of the truncated survival function, for any lengths with a survival function: the
+    trapezoid rule on one grid of even nodes, all points and the cutoff, so that each integral ends on a point of the grid.
+
+    The grid is summed cell by cell (between two nodes) and then over the cells, whose number is a parameter."""
     kept = _kept(lengths, cutoff)
-    mean = lengths.partial(cutoff) / kept
-    step = (top + 1.0) / nodes
-    grid = spark.range(nodes + 1).select("id", (F.col("id") * step).alias("t"))
-    conditional = F.when(F.col("t") <= cutoff, 1.0).otherwise(lengths.survival_column(F.col("t")) / kept)
-    along = W.orderBy("id")  # the grid has a fixed number of nodes
-    rows = grid.withColumn("s", conditional).withColumn("area", (F.col("s") + F.coalesce(F.lag("s").over(along), F.col("s"))) / 2 * F.when(F.col("id") > 0, step).otherwise(0.0))
-    return rows.select((F.col("t") - 1.0).alias("x"), (F.sum("area").over(along) / mean).alias("c"))
+    a = F.col("x").cast("double") + 1.0
+    if upper is None:
+        upper = upper_end(positions.agg(F.max(a)).first()[0] or 0.0, lengths, cutoff)
+    step = upper / (nodes - 1)
+    place = lambda t: F.least(F.floor(t / step), F.lit(nodes - 2)).cast("long")
+    points = positions.select("x").distinct().withColumn("t", F.least(a, F.lit(upper))).select("x", "t", place(F.col("t")).alias("cell"))
+    spark = positions.sparkSession
+    none = F.lit(None).cast(positions.schema["x"].dataType)
+    ends = spark.range(nodes - 1).select(none.alias("x"), F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("k"), F.col("id").alias("cell")).select("x", (F.col("k") * step).alias("t"), "cell")
+    cut = spark.range(1).select(none.alias("x"), F.lit(min(float(cutoff), upper)).alias("t")).withColumn("cell", place(F.col("t")))
+    inside = W.partitionBy("cell").orderBy("t", F.asc_nulls_first("x"))
+    grid = points.unionByName(ends).unionByName(cut).withColumn("s", F.when(F.col("t") < cutoff, 1.0).otherwise(lengths.survival_column(F.col("t")) / kept))
+    grid = grid.withColumn("area", F.coalesce((F.col("t") - F.lag("t").over(inside)) * (F.col("s") + F.lag("s").over(inside)) / 2.0, F.lit(0.0)))
+    grid = grid.withColumn("upto", F.sum("area").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    cells = grid.groupBy("cell").agg(F.max("upto").alias("total"))
+    along = W.orderBy("cell")  # `nodes` rows
+    cells = cells.select("cell", (F.sum("total").over(along) - F.col("total")).alias("base"), F.sum("total").over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("whole"))
+    found = grid.where("x is not null").join(cells, "cell").select("x", ((F.col("base") + F.col("upto")) / F.col("whole")).alias("c"))
+    return positions.join(found, "x", "left")
 
 
 def simulated(spark: SparkSession, molecule: int, depth: float, lengths: Fixed | Lognormal, window: int, cutoff: float = 0.0, reps: int = 1, seed: int = 0) -> DataFrame:

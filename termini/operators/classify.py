@@ -161,6 +161,16 @@ def masked(limits_off: bool = False) -> Column:
     return F.when(F.col("end") == "L", F.concat(F.lower(F.left("seq", n)), F.substring("seq", n + 1, F.length("seq")))).otherwise(F.concat(F.left("seq", rest), F.lower(F.right("seq", n))))
 
 
+def read_slice(limit: int) -> list[Column]:
+    """slice, at most `limit` bases of the read from the contig end's side on, and slice_offset, where it begins in the read
+    (rows of ends()). Without a sequence, or with a limit below 1, empty and 0."""
+    seq = F.coalesce("seq", F.lit(""))
+    some = F.lit(max(limit, 0))
+    at_left = F.col("end") == "L"
+    begin = F.when(at_left | (some == 0), 0).otherwise(F.greatest(F.length(seq) - some, F.lit(0)))
+    return [F.when(at_left, F.left(seq, some)).otherwise(F.right(seq, some)).alias("slice"), begin.cast("int").alias("slice_offset")]
+
+
 def sequence_header() -> Column:
     """read overhang_{end}_{contig} with the stats; overhang_length is the whole clip."""
     word = F.when(F.col("end") == "L", "left").otherwise("right")

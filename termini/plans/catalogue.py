@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = (sql if sql.lstrip().upper().startswith("SELECT 0") or "WITH " in sql else PREFIX + "\n" + sql)
+            ORACLE_SQL[name] = sql if "WITH " in sql else PREFIX + "\n" + sql
         return f
 
     return add
@@ -102,14 +102,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return K.buckets(calls(s, d))
 
 
-_BOTH = PREFIX.replace("contig_length - (pos + span - 1)", "okey2 - (pos + span - 1)")
-
-
 @query(
     "both_end_reads",
     """SELECT qname, rname, gap_left, gap_right, left_clip, right_clip FROM (
-        SELECT *, (pos - 1)::BIGINT AS gap_left, (mapq - 1)::BIGINT AS gap_right, left_clip AS l, CASE WHEN mapq > 0 THEN mapq ELSE 0 END::BIGINT AS right_clip2 FROM geo WHERE flag & 260 = 0 AND left_clip > 0 AND anchor >= 100)
-    WHERE gap_left <= 50 AND left_clip - gap_left >= 1 AND gap_right <= 50 AND right_clip2 - gap_right >= 1""".replace("left_clip, right_clip FROM", "left_clip, right_clip2 AS right_clip FROM"),
+        SELECT qname, rname, (pos - 1)::BIGINT AS gap_left, (mapq - 1)::BIGINT AS gap_right, left_clip, CASE WHEN mapq > 0 THEN mapq ELSE 0 END::BIGINT AS right_clip FROM geo WHERE flag & 260 = 0 AND left_clip > 0 AND anchor >= 100)
+    WHERE gap_left <= 50 AND left_clip - gap_left >= 1 AND gap_right <= 50 AND right_clip - gap_right >= 1""",
 )
 def _(s: SparkSession, d: str) -> DataFrame:
     """Short contigs: every left-clipped read gets a right clip of mapq bases, and its contig ends mapq - 1 bases behind it."""
@@ -121,6 +118,17 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rows.join(short.select("qname", "contig_name"), "qname").select("qname", F.col("contig_name").alias("rname"), "gap_left", "gap_right", F.col("left_clip").cast("long"), F.col("right_clip").cast("long"))
 
 
+def _counters(passed: str, motif: str) -> str:
+    excluded = ", ".join(f"count(*) FILTER (bucket = '{b}') AS excluded_{b}" for b in K.BUCKETS)
+    return f"""SELECT count(*) AS processed, count(*) FILTER (bucket = 'kept') AS kept, count(*) FILTER (bucket = 'kept' AND left_reason IS NULL AND right_reason IS NULL) AS both, count(*) FILTER (bucket = 'kept' AND {passed}) AS output, {motif} AS motif,
+    count(*) - count(*) FILTER (bucket = 'kept' AND {passed}) AS removed, {excluded}, count(*) FILTER (bucket = 'kept' AND NOT {passed}) AS excluded_motifs FROM calls"""
+
+
+@query("run_counters", _counters("true", "NULL::BIGINT"))
+def _(s: SparkSession, d: str) -> DataFrame:
+    return K.counters(calls(s, d))
+
+
 @query("contig_end_counts", "SELECT rname AS contig, count(*) FILTER (left_reason IS NULL) AS left_kept, count(*) FILTER (right_reason IS NULL) AS right_kept FROM calls WHERE bucket = 'kept' GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     kept = calls(s, d).where("bucket = 'kept'")
@@ -146,8 +154,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
     "extract_buckets",
     _EX + f""", r AS (SELECT *, CASE WHEN flag & 4 <> 0 THEN 'unmapped' WHEN flag & 256 <> 0 THEN 'secondary' WHEN NOT shape THEN 'no_clip' WHEN mapq < 20 THEN 'quality' WHEN anchor < 100 THEN 'min_anchor' END AS row_bucket FROM calls)
     SELECT bucket, count(*) AS n FROM (SELECT row_bucket AS bucket FROM r WHERE row_bucket IS NOT NULL
-    UNION ALL SELECT CASE WHEN reason IS NULL AND NOT {any_sql('upper(clip_seq)', EXACT)} THEN 'motifs' ELSE coalesce(reason, 'accepted') END FROM sides WHERE flag & 260 = 0 AND shape AND mapq >= 20 AND anchor >= 100) WHERE bucket <> 'no_clip' OR bucket IS NULL GROUP BY 1
-    """.replace("WHERE bucket <> 'no_clip' OR bucket IS NULL GROUP BY 1", "GROUP BY 1").replace("AND mapq >= 20 AND anchor >= 100)", "AND mapq >= 20 AND anchor >= 100 AND coalesce(reason, '') <> 'no_clip')"),
+    UNION ALL SELECT CASE WHEN reason IS NULL AND NOT {any_sql('upper(clip_seq)', EXACT)} THEN 'motifs' ELSE coalesce(reason, 'accepted') END FROM sides WHERE flag & 260 = 0 AND shape AND mapq >= 20 AND anchor >= 100 AND coalesce(reason, '') <> 'no_clip') GROUP BY 1
+    """,
 )
 def _(s: SparkSession, d: str) -> DataFrame:
     limits = K.Limits(min_mapq=20)
@@ -165,14 +173,19 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return overhangs(s, d).select("qname", "end", K.masked().alias("masked"))
 
 
+@query("read_slices", "SELECT qname, \"end\", CASE WHEN \"end\" = 'L' THEN left(seq, 40) ELSE right(seq, 40) END AS slice, (CASE WHEN \"end\" = 'L' THEN 0 ELSE greatest(length(seq) - 40, 0) END)::INT AS slice_offset FROM overhangs")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return overhangs(s, d).select("qname", "end", *K.read_slice(40))
+
+
 @query("extract_headers", "SELECT qname || ' overhang_' || CASE WHEN \"end\" = 'L' THEN 'left' ELSE 'right' END || '_' || contig || ' mapq=' || mapq || ' clip_length=' || clip_length || ' overhang_length=' || clip_length AS header FROM overhangs")
 def _(s: SparkSession, d: str) -> DataFrame:
     return overhangs(s, d).select(K.sequence_header().alias("header"))
 
 
-@query("zero_overhang_contigs", "SELECT contig FROM contigs WHERE contig NOT IN (SELECT contig FROM overhangs WHERE net_gain >= 80)")
+@query("zero_overhang_contigs", "SELECT contig FROM contigs WHERE contig NOT IN (SELECT contig FROM overhangs WHERE net_gain >= 88)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return contigs(s, d).join(overhangs(s, d).where("net_gain >= 80"), "contig", "left_anti").select("contig")
+    return contigs(s, d).join(overhangs(s, d).where("net_gain >= 88"), "contig", "left_anti").select("contig")
 
 
 @query("distinct_contigs", "SELECT count(DISTINCT contig) AS any_end, count(DISTINCT contig) FILTER (\"end\" = 'L') AS left_end, count(DISTINCT contig) FILTER (\"end\" = 'R') AS right_end FROM overhangs")
@@ -198,6 +211,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return K.filtered(calls(s, d), EXACT, anywhere=True).select("qname", "rname")
 
 
+@query("run_counters_motifs", _counters(_clip_hit(EXACT), f"count(*) FILTER (bucket = 'kept' AND {_clip_hit(EXACT)})"))
+def _(s: SparkSession, d: str) -> DataFrame:
+    return K.counters(calls(s, d), patterns=EXACT)
+
+
 @query("motif_buckets", f"SELECT CASE WHEN bucket = 'kept' AND NOT {_clip_hit(EXACT)} THEN 'motifs' ELSE bucket END AS bucket, count(*) AS n FROM calls GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     return K.buckets(calls(s, d), EXACT)
@@ -235,7 +253,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stats(s, d).select("contig", "left_count", "right_count", F.col("contig").isin("ctg03", "ctg17").alias("excluded"))
 
 
-@query("overall_stats", "SELECT e AS \"end\", count(*) AS n, avg(clip_length) AS mean, median(clip_length)::DOUBLE AS median, coalesce(stddev_samp(clip_length), 0.0) AS sd, min(clip_length) AS least, max(clip_length) AS most FROM (SELECT \"end\" AS e, clip_length FROM overhangs UNION ALL SELECT 'both', clip_length FROM overhangs) GROUP BY 1".replace("avg(clip_length) AS", "round(avg(clip_length), 6) AS").replace("coalesce(stddev_samp(clip_length), 0.0)", "round(coalesce(stddev_samp(clip_length), 0.0), 6)"))
+@query("overall_stats", "SELECT e AS \"end\", count(*) AS n, round(avg(clip_length), 6) AS mean, median(clip_length)::DOUBLE AS median, round(coalesce(stddev_samp(clip_length), 0.0), 6) AS sd, min(clip_length) AS least, max(clip_length) AS most FROM (SELECT \"end\" AS e, clip_length FROM overhangs UNION ALL SELECT 'both', clip_length FROM overhangs) GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     return S.overall(overhangs(s, d)).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
@@ -424,19 +442,46 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 # --- decay model ----------------------------------------------------------------------------------------------------
-@query("decay_fixed", "SELECT 0 AS z FROM (SELECT 0)".replace("SELECT 0 AS z FROM (SELECT 0)", "SELECT 0 + x AS x, round(least(x + 1, 8000) / 8000.0::DOUBLE, 9) AS c FROM generate_series(0::BIGINT, 9999::BIGINT) t(x)"))
+@query("decay_fixed", "WITH p AS (SELECT x FROM generate_series(0::BIGINT, 9999::BIGINT) t(x)) SELECT x, round(least(x + 1, 8000) / 8000.0::DOUBLE, 9) AS c FROM p")
 def _(s: SparkSession, d: str) -> DataFrame:
     return decay.relative_coverage(s.range(10_000).withColumnRenamed("id", "x"), decay.Fixed(8000.0)).select("x", F.round("c", 9).alias("c"))
 
 
-@query("decay_lognormal")
+LENGTHS, CUTOFF, NODES = decay.Lognormal(8000.0, 4000.0), 5000.0, 8192
+KEPT = LENGTHS.survival(CUTOFF)
+UPPER = decay.upper_end(10_000.0, LENGTHS, CUTOFF)
+
+
+def cdf_sql(x: str) -> str:
+    """DuckDB has no error function either: the same series."""
+    steps = f"list_concat([1.0::DOUBLE], list_transform(range({decay.TERMS}, 0, -1), lambda k: (2 * k + 1)::DOUBLE))"
+    return f"(SELECT 0.5 + z * list_reduce({steps}, lambda acc, k: 1.0 + z * z / k * acc) * exp(-z * z / 2.0) / sqrt(2.0 * pi()) FROM (SELECT least(greatest({x}, -{decay.FAR}), {decay.FAR})::DOUBLE AS z))"
+
+
+def survival_sql(t: str) -> str:
+    return f"CASE WHEN {t} <= 0 THEN 1.0 ELSE {cdf_sql(f'({LENGTHS.mu!r}::DOUBLE - ln({t})) / {LENGTHS.sigma!r}::DOUBLE')} END"
+
+
+@query(
+    "decay_lognormal",
+    f"""WITH p AS (SELECT x, x + 1.0::DOUBLE AS a FROM generate_series(0::BIGINT, 9999::BIGINT) t(x)),
+    q AS (SELECT x, a, {survival_sql("a")} AS s, {LENGTHS.mean!r} * {cdf_sql(f"({LENGTHS.mu!r}::DOUBLE + {LENGTHS.sigma!r}::DOUBLE ** 2 - ln(a)) / {LENGTHS.sigma!r}::DOUBLE")} AS e FROM p)
+    SELECT x, round(CASE WHEN a <= {CUTOFF} THEN a ELSE ({LENGTHS.partial(CUTOFF)!r}::DOUBLE - e + a * s) / {KEPT!r}::DOUBLE END / ({LENGTHS.partial(CUTOFF)!r}::DOUBLE / {KEPT!r}::DOUBLE), 8) AS c FROM q""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return decay.relative_coverage(s.range(10_000).withColumnRenamed("id", "x"), decay.Lognormal(8000.0, 4000.0), 5000.0)
+    return decay.relative_coverage(s.range(10_000).withColumnRenamed("id", "x"), LENGTHS, CUTOFF).select("x", F.round("c", 8).alias("c"))
 
 
-@query("decay_quadrature")
+@query(
+    "decay_quadrature",
+    f"""WITH g AS (SELECT k * ({UPPER!r}::DOUBLE / {NODES - 1}) AS t FROM generate_series(0::BIGINT, {NODES - 1}::BIGINT) n(k) UNION SELECT x + 1.0::DOUBLE FROM generate_series(0::BIGINT, 9999::BIGINT) p(x) UNION SELECT {CUTOFF!r}::DOUBLE),
+    s AS (SELECT t, CASE WHEN t < {CUTOFF} THEN 1.0 ELSE {survival_sql("t")} / {KEPT!r}::DOUBLE END AS s FROM g),
+    a AS (SELECT t, coalesce((t - lag(t) OVER w) * (s + lag(s) OVER w) / 2.0, 0.0) AS area FROM s WINDOW w AS (ORDER BY t)),
+    c AS (SELECT t, sum(area) OVER (ORDER BY t) AS upto, sum(area) OVER () AS whole FROM a)
+    SELECT x, round(upto / whole, 8) AS c FROM generate_series(0::BIGINT, 9999::BIGINT) p(x) JOIN c ON t = x + 1.0::DOUBLE""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return decay.quadrature_coverage(s, 10_000, decay.Lognormal(8000.0, 4000.0), 5000.0)
+    return decay.quadrature_coverage(s.range(10_000).withColumnRenamed("id", "x"), LENGTHS, CUTOFF, NODES).select("x", F.round("c", 8).alias("c"))
 
 
 @query("decay_simulated")

@@ -87,9 +87,15 @@ def test_buckets_sum_to_rows(spark):
 
 def test_model(spark):
     lengths, cutoff = decay.Lognormal(8000.0, 4000.0), 5000.0
-    grid = decay.quadrature_coverage(spark, 4095, lengths, cutoff, 4096)
+    points = spark.createDataFrame([(float(x),) for x in (0, 1, 17.5, 4095, 4999, 5000, 8000, 30_000, 1e6)], "x double")
+    grid = decay.quadrature_coverage(points, lengths, cutoff)
     exact = decay.relative_coverage(grid.select("x", F.col("c").alias("q")), lengths, cutoff)
-    assert exact.where(F.abs(F.col("q") - F.col("c")) > 2e-5).count() == 0
+    assert exact.where(F.abs(F.col("q") - F.col("c")) < 2e-5).count() == 9
+    fixed = decay.relative_coverage(decay.quadrature_coverage(spark.range(1200).withColumnRenamed("id", "x"), decay.Fixed(1000.0), nodes=3001, upper=1500.0).withColumnRenamed("c", "q"), decay.Fixed(1000.0))
+    assert fixed.where(F.abs(F.col("q") - F.col("c")) < 1e-3).count() == 1200
+    z = [k / 4 for k in range(-60, 61)]
+    found = spark.createDataFrame([(v,) for v in z], "z double").select("z", decay.normal_cdf_column(F.col("z")).alias("p")).collect()
+    assert all(r.p == pytest.approx(decay.normal_cdf(r.z), abs=2e-15) for r in found)
     with pytest.raises(decay.CutoffError):
         decay.relative_coverage(grid, decay.Fixed(100.0), 200.0)
     band = decay.bootstrap(spark, 100_000, 30.0, decay.Fixed(1000.0), 1500, reps=8, seed=3).where("x between 200 and 1200").agg(F.avg(F.abs(F.col("mean") - F.col("analytic")))).first()[0]
@@ -157,3 +163,57 @@ def test_entry_without_the_corpus_part():
     import __spark_entry__ as entry
 
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["filter_kept", "filter_buckets", "run_counters", "motif_presence_exact", "motif_presence_fuzzy", "motif_anywhere", "contig_end_counts", "extract_overhangs", "contig_stats", "best_overhang", "placed_bases", "coverage_tally"])
+def test_a_cigar_is_taken_apart_once_for_each_scan(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    scans = plan.count("l_partkey#") and plan.count("Relation [")
+    assert 1 <= plan.count("regexp_extract_all(") <= max(2, scans) and plan.count("regexp_extract_all(") <= 2
+
+
+def test_ranking_and_quantiles_of_ties_and_hot_ends(spark):
+    rows = [("c", "R", f"r{k % 3}", 10, 50, 40, "ACGT" * 12) for k in range(3000)] + [("c", "L", "one", 5, 9, 9, "ACGTACGTA")]
+    df = spark.createDataFrame(rows, "contig string, end string, qname string, pos int, clip_length long, net_gain long, clip_seq string").repartition(7)
+    assert {(r.end, r.qname, r.net_gain) for r in X.best(df).collect()} == {("R", "r0", 40), ("L", "one", 9)}
+    assert {(r.end, r.depth, r.q2, r.longest, r.best_gain) for r in S.quantiles(df).collect()} == {("R", 3000, 50.0, 50, 40), ("L", 1, 9.0, 9, 9)}
+    assert X.best(df.limit(0)).count() == 0 and S.quantiles(df.limit(0)).count() == 0
+
+
+def test_coverage_across_bins(spark):
+    intervals = [("c", 1, 10), ("c", 5, 25), ("c", 8, 8), ("d", 100, 300), ("c", 64, 64)]
+    df = spark.createDataFrame(intervals, "contig string, first long, last long")
+    for width in (1, 7, 65_536):
+        for r in S.coverage(df, width).collect():
+            assert r.depth == sum(c == r.contig and a <= r.pos <= b for c, a, b in intervals)
+
+
+def test_extensions_are_validated(spark):
+    size = "ACGTACGTAC"
+    planned = [("a", 0, 10, "r", "TTTT", 4, 2, 2, None, "", 0, 0, 0), ("b", 1, 10, "r", "T", 1, -1, 2, "q", "GG", 2, 0, 2), ("c", 2, 10, None, "", 0, 0, 0, "q", "GGG", 3, 2, 1)]
+    schema = "contig string, contig_ord int, contig_length long, left_read string, left_clip string, left_clip_length long, left_net_gain long, left_trim long, right_read string, right_clip string, right_clip_length long, right_net_gain long, right_trim long"
+    plan = spark.createDataFrame(planned, schema)
+    seqs = spark.createDataFrame([(c, size) for c in "abc"], "contig string, seq string")
+    done = {r.contig: (r.extended, r.status) for r in X.apply_extensions(plan, seqs).collect()}
+    assert done == {"a": ("TTTT" + size[2:], "left"), "b": (size, "no"), "c": (size[:-1] + "GGG", "right")}
+    said = sorted(r.warning for r in X.extension_warnings(plan, seqs).collect())
+    assert [w[:18] for w in said] == ["the left end of b ", "the right end of b"]
+    check = lambda *a: spark.range(1).select(X.validated(*[F.lit(x) for x in a[:-1]], a[-1])).first()[0]
+    assert check("ACGT", "GGACGT", "GG", 0, True) and not check("ACGT", "GGACG", "GG", 0, True) and not check("ACGT", "CGACGT", "GG", 0, True)
+    assert check("ACGT", "ACGGGG", "GGG", 1, False) and not check("ACGT", "ACGG", "G", 1, False)
+
+
+def test_read_slices(spark):
+    df = spark.createDataFrame([("L", "ACGTAC"), ("R", "ACGTAC"), ("R", None), ("L", "A")], "end string, seq string")
+    assert [tuple(r) for r in df.select(*K.read_slice(4)).collect()] == [("ACGT", 0), ("GTAC", 2), ("", 0), ("A", 0)]
+    assert all(tuple(r) == ("", 0) for r in df.select(*K.read_slice(0)).collect())
+
+
+def test_run_counters_sum_up(spark):
+    rows = catalogue.calls(spark, SF)
+    bad = spark.range(3)
+    for patterns in (None, catalogue.EXACT):
+        r = K.counters(rows, bad, patterns).first()
+        gone = sum(r[f"excluded_{b}"] for b in K.BUCKETS) + r.excluded_motifs
+        assert r.processed == rows.count() + 3 and r.removed == gone and r.processed == r.output + r.removed and r.excluded_malformed >= 3
+        assert r.motif == (r.output if patterns else None)
