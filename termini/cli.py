@@ -20,7 +20,7 @@ from .report import extraction, facts, html, markdown
 from .report.words import bars
 from .sinks import files
 from .sources import formats, text
-from .sources.bam import BamSource
+from .sources.bam import BamSource, exists
 
 log = logging.getLogger("termini")
 
@@ -43,8 +43,8 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     p = command("filter", "Pass on the alignments that overhang a contig end.")
-    p.add_argument("sam")
-    p.add_argument("output", help="folder of the part files")
+    p.add_argument("sam", nargs="?", default="-", help="a file; - is the standard input")
+    p.add_argument("output", nargs="?", default="-", help="folder of the part files; - is the standard output")
     p.add_argument("--ref-idx", required=True)
     p.add_argument("--motifs")
     p.add_argument("--no-rev", action="store_true", help="without reverse complements")
@@ -54,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--keep-secondary", action="store_true")
 
     p = command("extract", "Write the overhanging reads of each contig end to a file.")
-    p.add_argument("sam")
+    p.add_argument("sam", nargs="?", default="-", help="a file; - is the standard input")
     p.add_argument("--ref-idx", required=True)
     p.add_argument("--extract-dir", default=".")
     p.add_argument("--prefix")
@@ -96,17 +96,20 @@ def limits(a: argparse.Namespace) -> K.Limits:
 
 def need(*paths: str) -> None:
     for path in paths:
-        if not os.path.exists(path):
+        if not exists(path):
             raise CommandError(f"{path} does not exist")
 
 
 def parent(path: str | None) -> None:
-    """Makes the folder that a result goes to."""
+    """Makes the folder that a result goes to, and sees that it can be written."""
     if path and path != "-":
+        folder = os.path.dirname(os.path.abspath(path))
         try:
-            os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+            os.makedirs(folder, exist_ok=True)
         except OSError as e:
             raise CommandError(f"cannot make the folder of {path}: {e}") from e
+        if not os.access(folder, os.W_OK | os.X_OK) or os.path.isdir(path) and not os.access(path, os.W_OK | os.X_OK):
+            raise CommandError(f"{path} cannot be written")
 
 
 def counted_motifs(words: str | None, fuzzy: bool) -> dict[str, str]:
@@ -116,23 +119,60 @@ def counted_motifs(words: str | None, fuzzy: bool) -> dict[str, str]:
     return M.patterns(good, fuzzy) if good else {}
 
 
-def run_filter(spark: SparkSession, a: argparse.Namespace) -> None:
-    need(a.sam, a.ref_idx)
-    formats.require_sam(a.sam)
-    headers, rows = text.read_sam(spark, a.sam)
+def sam_input(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Headers and rows of a SAM file or the standard input."""
+    path = text.spooled(spark, sys.stdin.buffer) if path == "-" else path
+    if "://" not in path:
+        need(path)
+    formats.require_sam(path)
+    headers, rows = text.read_sam(spark, path)
     rows = rows.persist(StorageLevel.DISK_ONLY)
+    if text.undecodable(headers.select("value").union(rows.select("value"))):
+        raise formats.InputFormatError(f"{path} holds lines that are not text; this command reads SAM text, for BAM use samtools view -h")
+    return headers, rows
+
+
+def run_filter(spark: SparkSession, a: argparse.Namespace) -> None:
+    need(a.ref_idx)
+    headers, rows = sam_input(spark, a.sam)
     calls = K.classify(rows.where("not malformed"), text.read_fai(spark, a.ref_idx), limits(a))
     found = M.patterns(M.parse_filter_motifs(a.motifs, a.no_rev), a.fuzzy, complements=False) if a.motifs else None
     how = (found, a.min_repeats, a.match_anywhere)
-    counts = {r.bucket: r.n for r in K.buckets(calls, *how).collect()}
-    counts["malformed"] = counts.get("malformed", 0) + rows.where("malformed").count()
-    if counts.get("unknown_contig"):
-        raise CommandError(f"{counts['unknown_contig']:,} clipped alignments name a contig that {a.ref_idx} lacks")
-    if sum(counts.values()) and counts["malformed"] == sum(counts.values()):
-        raise CommandError(f"no line of {a.sam} can be read as an alignment")
-    files.write_sam(headers, K.filtered(calls, *how), a.output)
-    for bucket, n in sorted(counts.items()):
-        log.info("%s: %s", bucket, f"{n:,}")
+    n = K.counters(calls, rows.where("malformed"), *how).first()
+    shown, more = text.flaws(rows)
+    for reason, excerpt in shown:
+        log.warning("a line is skipped (%s): %s", reason, excerpt)
+    if more:
+        log.warning("further lines like these are counted and not listed")
+    if n.excluded_unknown_contig:
+        raise CommandError(f"{n.excluded_unknown_contig:,} clipped alignments name a contig that {a.ref_idx} lacks")
+    if n.processed and n.excluded_malformed == n.processed:
+        raise formats.InputFormatError(f"none of the {n.processed:,} lines can be read as an alignment")
+    kept = K.filtered(calls, *how)
+    if a.output == "-":
+        files.print_sam(headers, kept, sys.stdout)
+    else:
+        files.write_sam(headers, kept, a.output)
+    names = [("processed", "alignments read"), ("kept", "clipped past a contig end"), ("both", "clipped past both ends"), *([("motif", "of these with a motif")] if found else []), ("removed", "removed")]
+    names += [(f"excluded_{b}", f"removed, {b}") for b in K.BUCKETS if b != "unknown_contig"] + ([("excluded_motifs", "removed, motifs")] if found else [])
+    for name, words in names:
+        log.info("%s: %s", words, f"{n[name]:,}")
+    tell_ends(calls)
+
+
+def tell_ends(calls: DataFrame) -> None:
+    """Logs the reads kept at each contig end, and how they are spread. A row for each contig with reads."""
+    ends = K.kept_ends(calls).orderBy("contig").collect()
+    for r in ends:
+        log.info("%s: %s left, %s right", r.contig, f"{r.left_kept:,}", f"{r.right_kept:,}")
+    counts = [n for r in ends for n in (r.left_kept, r.right_kept)]
+    if counts:
+        low, high = min(counts), max(counts)
+        bins = min(10, high - low + 1)
+        width = (high - low + 1) / bins
+        place = [min(bins - 1, int((n - low) / width)) for n in counts]
+        edges = [low + int(k * width) for k in range(bins)] + [high + 1]
+        log.info("reads at %s contig ends:\n%s", f"{len(counts):,}", bars([(edges[k], max(edges[k], edges[k + 1] - 1), place.count(k)) for k in range(bins)]))
 
 
 def headers_of(rows: DataFrame, a: argparse.Namespace, found: dict[str, str]) -> DataFrame:
@@ -146,18 +186,17 @@ def headers_of(rows: DataFrame, a: argparse.Namespace, found: dict[str, str]) ->
     word = F.when(F.col("end") == "L", "left").otherwise("right")
     header = F.concat_ws(" ", "qname", F.concat_ws("_", F.lit("overhang"), word, "contig"), *said)
     seq = K.masked(a.no_mask_overhangs or a.output_format == "fastq")
-    return rows.select("contig", "end", header.alias("header"), seq.alias("seq"))
+    return rows.select("contig", "end", header.alias("header"), seq.alias("seq"), "line_no")
 
 
 def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
-    need(a.sam, a.ref_idx)
-    formats.require_sam(a.sam)
+    need(a.ref_idx)
     contigs = text.read_fai(spark, a.ref_idx)
-    rows = text.read_sam(spark, a.sam)[1].where("not malformed and pos is not null and mapq is not null").persist(StorageLevel.DISK_ONLY)
+    rows = sam_input(spark, a.sam)[1].where("not malformed and pos is not null and mapq is not null")
     found, limit = counted_motifs(a.count_motifs, a.fuzzy_count), limits(a)
     calls = K.classify(rows, contigs, limit)
     ends = K.extracted(calls, limit, found or None).persist(StorageLevel.DISK_ONLY)
-    os.makedirs(a.extract_dir, exist_ok=True)
+    parent(os.path.join(a.extract_dir, "x"))
     written = files.write_sequences(headers_of(ends, a, found), os.path.abspath(a.extract_dir), a.output_format == "fastq", a.prefix)
     log.info("%s sequences in %s files", f"{sum(written.values()):,}", f"{len(written):,}")
     if a.report_stats:
@@ -167,8 +206,7 @@ def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_extend(spark: SparkSession, a: argparse.Namespace) -> None:
-    need(a.fasta, a.bam, a.fasta + ".fai")
-    formats.require_bam(a.bam)
+    formats.require_indexed(a.fasta, a.bam)
     for path in (a.output_fasta, a.stats_report, a.html_report, a.overhang_log):
         parent(path)
     a.min_clip = max(1, a.min_clip)
@@ -191,6 +229,10 @@ def run_extend(spark: SparkSession, a: argparse.Namespace) -> None:
         motifs = X.motif_gain(X.terminal_counts(sequences, "seq", found, a.screen_terminal_bases, True, True), after)
     missing = [r.contig for r in contigs.join(sequences, "contig", "left_anti").orderBy("contig_ord").collect()]
     warnings = [f"{name} is in the index and not in {a.fasta}" for name in missing]
+    if not a.dry_run:
+        warnings += [r.warning for r in X.extension_warnings(plan, sequences).orderBy("contig_ord", "warning").collect()]
+    for warning in warnings:
+        log.warning(warning)
     told = facts.gather(overhangs, contigs, X.gains(plan, None if a.dry_run else applied), a.min_overhangs, a.outlier_threshold, motifs, excluded=excluded, warnings=warnings, dry_run=a.dry_run, window=a.screen_terminal_bases)
     shape = S.histogram(S.contig_stats(overhangs, contigs).select(F.explode(F.array("left_count", "right_count")).alias("reads")), "reads").orderBy("bin").collect()
     lows = [int(r.low) for r in shape]
@@ -209,7 +251,7 @@ def run_extend(spark: SparkSession, a: argparse.Namespace) -> None:
         (sys.stdout if a.stats_report else sys.stderr).write(page)
     if a.html_report:
         with open(a.html_report, "w") as out:
-            out.write(html.render(told, facts.panels(overhangs, a.html_max_reads), list(found.values())))
+            out.write(html.render(told, facts.panels(overhangs, a.html_max_reads, sequences), list(found.values())))
 
 
 RUN = {"filter": run_filter, "extract": run_extract, "extend": run_extend}
@@ -225,7 +267,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     logging.getLogger("py4j").setLevel(logging.WARNING)
     try:
         RUN[a.command](spark or SparkSession.builder.getOrCreate(), a)
-    except (CommandError, formats.InputFormatError, text.ExclusionError, M.MotifError) as e:
+    except (CommandError, formats.InputFormatError, text.ExclusionError, text.SpoolError, M.MotifError) as e:
         log.error("%s", e)
         return 1
     return 0

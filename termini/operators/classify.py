@@ -112,6 +112,12 @@ def counters(classified: DataFrame, malformed: DataFrame | None = None, patterns
     )
 
 
+def kept_ends(classified: DataFrame) -> DataFrame:
+    """contig, left_kept, right_kept: the reads kept at each end, before motifs."""
+    kept = filtered(classified)
+    return kept.groupBy(F.col("rname").alias("contig")).agg(F.count_if(F.col("left_reason").isNull()).alias("left_kept"), F.count_if(F.col("right_reason").isNull()).alias("right_kept"))
+
+
 def ends(classified: DataFrame) -> DataFrame:
     """Two rows for each alignment, one for each contig end, with its verdict."""
     side = lambda end, clip, gap, reason, seq: F.struct(F.lit(end).alias("end"), F.col(clip).alias("clip_length"), F.col(gap).alias("gap"), F.col(reason).alias("reason"), seq.alias("clip_seq"))

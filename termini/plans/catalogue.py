@@ -131,8 +131,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("contig_end_counts", "SELECT rname AS contig, count(*) FILTER (left_reason IS NULL) AS left_kept, count(*) FILTER (right_reason IS NULL) AS right_kept FROM calls WHERE bucket = 'kept' GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    kept = calls(s, d).where("bucket = 'kept'")
-    return kept.groupBy(F.col("rname").alias("contig")).agg(F.count_if(F.col("left_reason").isNull()).alias("left_kept"), F.count_if(F.col("right_reason").isNull()).alias("right_kept"))
+    return K.kept_ends(calls(s, d))
 
 
 # --- extract --------------------------------------------------------------------------------------------------------
@@ -183,9 +182,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return overhangs(s, d).select(K.sequence_header().alias("header"))
 
 
-@query("zero_overhang_contigs", "SELECT contig FROM contigs WHERE contig NOT IN (SELECT contig FROM overhangs WHERE net_gain >= 88)")
+@query("zero_overhang_contigs", "SELECT contig FROM contigs WHERE contig NOT IN (SELECT contig FROM overhangs WHERE net_gain >= 85)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return contigs(s, d).join(overhangs(s, d).where("net_gain >= 88"), "contig", "left_anti").select("contig")
+    return contigs(s, d).join(overhangs(s, d).where("net_gain >= 85"), "contig", "left_anti").select("contig")
 
 
 @query("distinct_contigs", "SELECT count(DISTINCT contig) AS any_end, count(DISTINCT contig) FILTER (\"end\" = 'L') AS left_end, count(DISTINCT contig) FILTER (\"end\" = 'R') AS right_end FROM overhangs")

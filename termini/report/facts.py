@@ -68,10 +68,12 @@ class Panel:
     end: str
     columns: list[tuple[int, int]]
     reads: list[tuple[Row, dict[tuple[int, int], tuple[str, str]]]]  # read, its bases: column -> (base, kind)
+    reference: str = ""  # the contig's bases at this end
 
 
-def panels(overhangs: DataFrame, most_reads: int = 25) -> list[Panel]:
-    """A panel for each contig end with reads: at most most_reads of them, which is what the report shows."""
+def panels(overhangs: DataFrame, most_reads: int = 25, sequences: DataFrame | None = None) -> list[Panel]:
+    """A panel for each contig end with reads: at most most_reads of them, which is what the report shows, and of the contig's
+    sequence no more than a pile's widest window."""
     top = X.top_reads(overhangs, most_reads)
     placed = layout.cells(top)
     shared: dict[tuple[str, str], list[tuple[int, int]]] = {}
@@ -85,4 +87,11 @@ def panels(overhangs: DataFrame, most_reads: int = 25) -> list[Panel]:
     for r in top.orderBy("contig_ord", "end", "place").drop("seq").collect():
         panel = out.setdefault((r.contig, r.end), Panel(r.contig, r.end, shared.get((r.contig, r.end), []), []))
         panel.reads.append((r, bases.get((r.contig, r.end, r.qname, r.pos), {})))
+    if sequences is not None:
+        w = F.lit(layout.MOST_WINDOW)
+        known = sequences.join(top.select("contig").distinct(), "contig").select("contig", F.left("seq", w).alias("L"), F.right("seq", w).alias("R"))
+        for r in known.toLocalIterator():
+            for end in "LR":
+                if (r.contig, end) in out:
+                    out[r.contig, end].reference = r[end]
     return list(out.values())

@@ -8,12 +8,12 @@ from html import escape
 
 from . import charts, markdown
 from .facts import Facts, Panel
-from .layout import ticks
+from .layout import reference_row, terminus, ticks
 
 STYLE = """body{font:15px/1.5 system-ui,sans-serif;max-width:1000px;margin:2em auto;padding:0 1em;color:#222}
 table{border-collapse:collapse;margin:1em 0}td,th{padding:.2em .7em;border-bottom:1px solid #ddd;text-align:left}td.n,th.n{text-align:right}
 svg{width:100%;height:auto;font-size:11px}.pile{overflow-x:auto;font:12px/1.35 ui-monospace,monospace;white-space:pre}
-.clip{background:#fde7c7}.anchor{color:#666}.motif{background:#bfe3c0;font-weight:bold}.rule{color:#999}.used{font-weight:bold}"""
+.clip{background:#fde7c7}.anchor{color:#666}.motif{background:#bfe3c0;font-weight:bold}.rule{color:#999}.reference{color:#246}.edge{display:inline-block;width:0;color:#c33}.used{font-weight:bold}"""
 NUMBER = re.compile(r"[+–-]?[\d,.]*%?( bp)?")
 LENGTHS = ["Contig", "End", "Reads", "Q1", "Median", "Q3", "Longest", "Best gain"]
 
@@ -66,6 +66,10 @@ def ruler(panel: Panel) -> str:
 def pile(panel: Panel, used: str | None, patterns: Sequence[str]) -> str:
     motif = re.compile("|".join(sorted(patterns, key=len, reverse=True)), re.IGNORECASE) if patterns else None
     lines = [f'<span class="rule">{ruler(panel)}</span>']
+    if panel.reference:
+        row, at = reference_row(panel.reference, panel.end, panel.columns), terminus(panel.end, panel.columns)
+        edge = '<span class="edge">|</span>'  # takes no width
+        lines.append(f'<span class="reference">{escape(row[:at])}{edge}{escape(row[at:].rstrip())}</span>  <span class="rule">{escape(panel.contig)}</span>')
     for read, bases in panel.reads:
         name = escape(f"{read.qname}  clip {read.clip_length:,}  gain {read.net_gain:+,}  mapq {read.mapq}")
         lines.append(f"{runs(panel, bases, motif)}  <span class=\"{'used' if read.qname == used else 'rule'}\">{name}</span>")

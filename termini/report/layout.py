@@ -72,6 +72,24 @@ def columns(placed: DataFrame) -> DataFrame:
     return deepest.select(*END, "off", F.explode(F.sequence(F.lit(0), F.col("deepest"))).alias("ins"))
 
 
+def reference_row(sequence: str, end: str, shared: list[tuple[int, int]]) -> str:
+    """The contig's bases under the shared columns; `sequence` is its part at this end. Columns outside the contig are blank,
+    those of inserted bases a dash."""
+    first = 0 if end == "L" else 1 - len(sequence)
+    letters = []
+    for off, ins in shared:
+        k = off - first
+        letters.append(" " if not 0 <= k < len(sequence) else "-" if ins else sequence[k])
+    return "".join(letters)
+
+
+def terminus(end: str, shared: list[tuple[int, int]]) -> int:
+    """The column where the contig ends: its first base's on the left, the one behind its last base and what is inserted
+    there on the right."""
+    zero = [k for k, (off, _) in enumerate(shared) if off == 0]
+    return 0 if not zero else zero[0] if end == "L" else zero[-1] + 1
+
+
 def ticks(shared: list[tuple[int, int]], step: int = TICK) -> list[tuple[int, str]]:
     """(column, label) of the ruler: the reference offsets that step divides."""
     return [(k, f"{off:+d}" if off else "0") for k, (off, ins) in enumerate(shared) if not ins and off % step == 0]

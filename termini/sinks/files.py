@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from typing import TextIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 80
 
 
-def write_sam(headers: DataFrame, kept: DataFrame, path: str) -> None:
-    """Headers, then kept lines, in input order; the folder's part files read in name order."""
+def sam_lines(headers: DataFrame, kept: DataFrame) -> DataFrame:
+    """value: headers, then kept lines, in input order."""
     rows = headers.select("line_no", "value", F.lit(0).alias("part")).unionByName(kept.select("line_no", "value", F.lit(1).alias("part")))
-    rows.orderBy("part", "line_no").select("value").write.text(path)
+    return rows.orderBy("part", "line_no").select("value")
+
+
+def write_sam(headers: DataFrame, kept: DataFrame, path: str) -> None:
+    """The folder's part files read in name order."""
+    sam_lines(headers, kept).write.text(path)
+
+
+def print_sam(headers: DataFrame, kept: DataFrame, out: TextIO) -> None:
+    """The lines to a stream, a partition at a time."""
+    for row in sam_lines(headers, kept).toLocalIterator():
+        out.write(row.value + "\n")
 
 
 def wrapped(seq: str, width: int = WIDTH) -> str:
@@ -36,24 +51,44 @@ def sequence_file(folder: str, contig: str, end: str, fastq: bool = False, prefi
 
 def write_sequences(rows: DataFrame, folder: str, fastq: bool = False, prefix: str | None = None) -> dict[tuple[str, str], int]:
     """rows (contig, end, header, seq) as a file for each contig end; counts for each. Executors write, so the folder is a
-    shared one. Rows are dealt by contig and end; a file is written under another name and put in place when complete."""
+    shared one. Rows are dealt by contig and end and stream from sorted partitions into one open file; a file is written
+    under another name and put in place when complete, so a task that runs again does no harm."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, n, draft = None, None, 0, ""
 
-    def one(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
+        def done() -> pa.RecordBatch:
+            out.close()
+            os.replace(draft, sequence_file(folder, *now, fastq, prefix))
+            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([n], pa.int64())], ["contig", "end", "n"])
 
-        contig, end = pdf.contig.iloc[0], pdf.end.iloc[0]
-        path = sequence_file(folder, contig, end, fastq, prefix)
         os.makedirs(folder, exist_ok=True)
-        with open(path + f".{os.getpid()}", "w") as out:
-            for header, seq in zip(pdf.header, pdf.seq, strict=True):
-                if not seq or not header:
-                    raise ValueError("empty sequence or name")
-                out.write(f"@{header}\n{seq}\n+\n{'I' * len(seq)}\n" if fastq else f">{header}\n{wrapped(seq)}\n")
-        os.replace(path + f".{os.getpid()}", path)
-        return pd.DataFrame({"contig": [contig], "end": [end], "n": [len(pdf)]})
-
-    done = rows.select("contig", "end", "header", "seq").groupBy("contig", "end").applyInPandas(one, "contig string, end string, n long")
-    return {(r.contig, r.end): r.n for r in done.collect()}
+        try:
+            for batch in batches:
+                for contig, end, header, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (contig, end) != now:
+                        if out:
+                            yield done()
+                        now, n = (contig, end), 0
+                        draft = sequence_file(folder, contig, end, fastq, prefix) + f".{uuid.uuid4().hex}"
+                        out = open(draft, "w")
+                    if not seq or not header:
+                        raise ValueError("empty sequence or name")
+                    out.write(f"@{header}\n{seq}\n+\n{'I' * len(seq)}\n" if fastq else f">{header}\n{wrapped(seq)}\n")
+                    n += 1
+            if out:
+                yield done()
+        except BaseException:
+            if out:
+                out.close()
+                if os.path.exists(draft):
+                    os.remove(draft)
+            raise
+
+    order = ["line_no"] if "line_no" in rows.columns else []
+    dealt = rows.repartition("contig", "end").sortWithinPartitions("contig", "end", *order).select("contig", "end", "header", "seq")
+    done = dealt.mapInArrow(written, "contig string, end string, n long")
+    return {(r.contig, r.end): r.n for r in done.collect()}  # a row for each contig end
 
 
 def write_log(log: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .bam import exists, index_of, opened
+
 HEADER_TAGS = ("@HD", "@SQ", "@RG", "@PG", "@CO")
 
 
@@ -23,7 +25,7 @@ def sniff(head: bytes) -> str:
 
 
 def peek(path: str, n: int = 64) -> bytes:
-    with open(path, "rb") as f:
+    with opened(path) as f:
         return f.read(n)
 
 
@@ -37,3 +39,16 @@ def require_bam(path: str) -> None:
     kind = sniff(peek(path))
     if kind != "gzip":
         raise InputFormatError(f"{path} is not BAM but {kind}")
+
+
+def require_indexed(fasta: str, bam: str) -> None:
+    """The files of `extend`, in the order in which a user would mend them: a SAM file is told to be none before its
+    missing index is."""
+    for path in (fasta, bam):
+        if not exists(path):
+            raise InputFormatError(f"{path} does not exist")
+    if not exists(f"{fasta}.fai"):
+        raise InputFormatError(f"{fasta}.fai does not exist: make it with samtools faidx {fasta}")
+    require_bam(bam)
+    if index_of(bam) is None:
+        raise InputFormatError(f"{bam}.bai does not exist: make it with samtools index {bam}")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from typing import BinaryIO
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,6 +35,44 @@ def parse_sam(rows: DataFrame) -> DataFrame:
     return rows.select("*", *sam_columns(F.col("value"))).withColumn("malformed", (F.col("n_fields") < FIELDS) | F.col("flag").isNull())
 
 
+def undecodable(rows: DataFrame) -> bool:
+    """Is there a line that is not UTF-8 text?"""
+    return rows.where(~F.is_valid_utf8("value")).limit(1).count() > 0
+
+
+def flaws(rows: DataFrame, most: int = 5, width: int = 120) -> tuple[list[tuple[str, str]], bool]:
+    """(reason, excerpt) of the first `most` rows of parse_sam that are no alignments, in file order, and whether there are
+    more. A number that cannot be read in POS or in a clipped row's CIGAR makes a row one of them too."""
+    reason = F.when(F.col("n_fields") < FIELDS, "too few tab-separated fields").when(F.col("flag").isNull(), F.concat(F.lit("FLAG is not an integer: "), F.get(F.split("value", "\t"), F.lit(1))))
+    clipped = (F.col("flag").bitwiseAND(4) == 0) & F.col("cigar").contains("S") & ~F.col("cigar").contains("H")
+    reason = reason.when(clipped & F.col("pos").isNull(), F.concat(F.lit("POS is not an integer: "), F.get(F.split("value", "\t"), F.lit(3))))
+    excerpt = F.when(F.length("value") > width, F.concat(F.left("value", F.lit(width - 3)), F.lit("..."))).otherwise(F.col("value"))
+    found = rows.select("line_no", reason.alias("reason"), excerpt.alias("excerpt")).where("reason is not null").orderBy("line_no").limit(most + 1).collect()
+    return [(r.reason, r.excerpt) for r in found[:most]], len(found) > most
+
+
+def spooled(spark: SparkSession, stream: BinaryIO) -> str:
+    """A file with what the stream holds, where executors can read it: in the folder that the cluster shares
+    (spark.checkpoint.dir), or a local one where driver and executors are one process. It goes when the driver ends."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise SpoolError("standard input needs spark.checkpoint.dir, a folder that driver and executors share")
+    path = f"{folder or 'file://' + tempfile.gettempdir()}/termini-input-{uuid.uuid4().hex}.sam"
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(context._jsc.hadoopConfiguration())
+    out = files.create(hadoop)
+    files.deleteOnExit(hadoop)
+    while data := stream.read(1 << 20):
+        out.write(bytearray(data))
+    out.close()
+    return path
+
+
+class SpoolError(ValueError):
+    pass
+
+
 def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers, alignments) with line_no as the order of both."""
     rows = lines(spark, path)

@@ -1,5 +1,6 @@
 import pytest
 from test_engine import SAM, bam
+from test_sources import bai
 
 from termini import cli
 from termini.report import extraction, html, layout, markdown, words
@@ -51,6 +52,7 @@ def folder(tmp_path):
     (tmp_path / "a.fasta").write_text(">c1\n" + "ACGT" * 250 + "\n")
     (tmp_path / "a.fasta.fai").write_text("c1\t1000\t3\t60\t61\nc2\t200\n")
     bam(tmp_path / "a.bam", [("r1", 0, 5, [(20, "S"), (120, "M")], "TTAGGG" * 3 + "AC" + "ACGT" * 30), ("r2", 0, 3, [(4, "S"), (110, "M")], "ACGT" + "C" * 110), ("r3", 0, 881, [(120, "M"), (7, "S")], "ACGT" * 30 + "CATCATC")])
+    bai(tmp_path / "a.bam.bai", [(0, 1 << 40)], [])
     return tmp_path
 
 
@@ -86,6 +88,9 @@ def test_extend_command(spark, folder):
     dry = (folder / "d.md").read_text()
     assert "(dry run)" in dry and "user exclusion list" in dry and "Extensions That" not in dry
     assert cli.main([*args[:3], "--exclude-contigs", "nope"], spark) == 1
+    assert '<span class="reference">' in shown and '<span class="edge">|</span>ACGTACGT' in shown
+    (folder / "a.bam.bai").unlink()
+    assert cli.main([*args[:3], "--dry-run"], spark) == 1
 
 
 def test_flag_words():
@@ -93,3 +98,39 @@ def test_flag_words():
 
     assert flag_words("left_count", 4.25) == "left: more reads than other ends (score 4.2)"
     assert [y for _, y, _ in stacked([(0, 30, "aa"), (1, 30, "bb")])] == [22, 11]
+
+
+def test_filter_from_standard_input_to_standard_output(spark, folder, monkeypatch, capsys, caplog):
+    import io
+
+    class Input:
+        buffer = io.BytesIO(SAM.encode())
+
+    monkeypatch.setattr("sys.stdin", Input)
+    assert cli.main(["filter", "--ref-idx", f"{folder}/a.fasta.fai"], spark) == 0
+    assert [line[:3] for line in capsys.readouterr().out.splitlines()] == ["@HD", "r1\t"]
+
+
+def test_filter_tells_of_bad_lines_and_refuses_bytes_that_are_no_text(spark, folder, caplog):
+    lines = ["r1\t0\tc1\t1\t60\t9S120M\t*\t0\t0\t" + "A" * 129 + "\t*", *[f"bad{k}\tx\tc1" + "\tz" * 60 for k in range(7)], "few\t0", "p\t0\tc1\tx\t60\t9S120M\t*\t0\t0\tA\t*"]
+    (folder / "d.sam").write_text("\n".join(lines) + "\n")
+    log = folder / "log.txt"
+    assert cli.main(["filter", f"{folder}/d.sam", f"{folder}/d", "--ref-idx", f"{folder}/a.fasta.fai", "--logfile", str(log)], spark) == 0
+    said = log.read_text()
+    assert said.count("a line is skipped") == 5 and "FLAG is not an integer: x" in said and "not listed" in said and "alignments read: 10" in said and "removed, malformed: 9" in said
+    assert all(len(x) < 250 for x in said.splitlines()) and "c1: 1 left, 0 right" in said
+    (folder / "e.sam").write_bytes(b"@HD\tVN:1.6\n" + lines[0].encode() + b"\nr2\t\xff\xfe\x80\tc1\n")
+    assert cli.main(["filter", f"{folder}/e.sam", f"{folder}/e", "--ref-idx", f"{folder}/a.fasta.fai"], spark) == 1
+    assert not (folder / "e").exists()
+
+
+def test_reference_row_and_terminus():
+    shared = [(-2, 0), (-1, 0), (0, 0), (0, 1), (1, 0), (2, 0)]
+    assert layout.reference_row("ACG", "L", shared) == "  A-CG" and layout.terminus("L", shared) == 2
+    assert layout.reference_row("ACG", "R", shared) == "ACG-  " and layout.terminus("R", shared) == 4
+    assert layout.reference_row("", "R", shared) == " " * 6 and layout.terminus("L", [(5, 0)]) == 0
+
+
+def test_output_folder_that_cannot_be_made(spark, folder):
+    (folder / "file").write_text("x")
+    assert cli.main(["extend", f"{folder}/a.bam", f"{folder}/a.fasta", "--output-fasta", f"{folder}/file/x.fasta"], spark) == 1
