@@ -1,7 +1,11 @@
-"""The command line."""
-
 import sys
 
 from .cli import main
 
-sys.exit(main())
+
+def run() -> None:
+    sys.exit(main())
+
+
+if __name__ == "__main__":
+    run()
