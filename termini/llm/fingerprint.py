@@ -4,8 +4,8 @@ A text is a tree: document > sections > paragraphs (lines) > clauses. A clause e
 that follow, which belong to it, so the clauses of a text spell it. Each clause is hashed (128 bits of SHA-256); the digest
 of a paragraph, of a section and of the document (the root) is the SHA-256 of what its children's digests spell. A section
 ends at a paragraph whose digest begins with 0 to 3, so an edit moves no boundary elsewhere. The fingerprint is the root
-followed by the leaf digests with their structure ("," between clauses, ";" between paragraphs, "/" between sections): inner
-digests follow from it.
+followed by the leaf digests in base64 with their structure ("," between clauses, ";" between paragraphs, "#" before
+sections): inner digests follow from it.
 
 Equal roots mean equal texts, different texts have different roots (but for a collision of 128-bit hashes). Where roots
 differ, compared() descends: branches that are equal count whole, and only differing sections are opened into paragraphs,
@@ -23,19 +23,20 @@ from pyspark.sql import functions as F
 
 from .common import chained, same, whole_text
 
-DIGEST = 32
+DIGEST = 22  # characters of 128 bits
 CLAUSE_END = r"([.!?;:,][\x20\t]+)"
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text column."""
     lines = F.split(F.regexp_replace(text, CLAUSE_END, "$1\x01"), "\n")
-    leaves = F.transform(lines, lambda line: F.array_join(F.transform(F.split(line, "\x01"), lambda clause: F.left(F.sha2(clause, 256), F.lit(DIGEST))), ","))
-    ended = F.transform(leaves, lambda leaf: F.concat(leaf, F.when(F.left(F.sha2(leaf, 256), F.lit(1)).isin(*"0123"), "/").otherwise(";")))
-    tree = F.regexp_replace(F.array_join(ended, ""), "[;/]$", "")
+    leaf = lambda clause: F.left(F.base64(F.unhex(F.left(F.sha2(clause, 256), F.lit(32)))), F.lit(DIGEST))
+    leaves = F.transform(lines, lambda line: F.array_join(F.transform(F.split(line, "\x01"), leaf), ","))
+    ended = F.transform(leaves, lambda leaf: F.concat(leaf, F.when(F.left(F.sha2(leaf, 256), F.lit(1)).isin(*"0123"), "#").otherwise(";")))
+    tree = F.regexp_replace(F.array_join(ended, ""), "[;#]$", "")
     # sha2 over the text itself would not be a Merkle root: the root hashes the sections' digests
-    root = F.sha2(F.array_join(F.transform(F.split(tree, "/"), lambda section: F.sha2(F.array_join(F.transform(F.split(section, ";"), lambda leaf: F.sha2(leaf, 256)), ""), 256)), ""), 256)
-    return F.concat(root, F.lit("/"), tree)
+    root = F.sha2(F.array_join(F.transform(F.split(tree, "#"), lambda section: F.sha2(F.array_join(F.transform(F.split(section, ";"), lambda leaf: F.sha2(leaf, 256)), ""), 256)), ""), 256)
+    return F.concat(root, F.lit("#"), tree)
 
 
 def root(fp: Column) -> Column:
@@ -44,7 +45,7 @@ def root(fp: Column) -> Column:
 
 def sections(fp: Column) -> Column:
     """The sections of a fingerprint, each spelt by its leaves."""
-    return F.split(F.substring(fp, F.lit(66), F.length(fp)), "/")
+    return F.split(F.substring(fp, F.lit(66), F.length(fp)), "#")
 
 
 def _opened(branches: Column, mark: str) -> Column:

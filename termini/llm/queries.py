@@ -33,11 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _FINGERPRINT = """
-    sha256(array_to_string(list_transform(string_split({t}, '/'), lambda s: sha256(array_to_string(list_transform(string_split(s, ';'), lambda p: sha256(p)), ''))), '')) || '/' || {t}"""
+    sha256(array_to_string(list_transform(string_split({t}, '#'), lambda s: sha256(array_to_string(list_transform(string_split(s, ';'), lambda p: sha256(p)), ''))), '')) || '#' || {t}"""
 _TREE = """regexp_replace(array_to_string(list_transform(
         list_transform(string_split(regexp_replace({x}, '([.!?;:,][ \\t]+)', '\\1' || chr(1), 'g'), chr(10)),
-            lambda line: array_to_string(list_transform(string_split(line, chr(1)), lambda clause: left(sha256(clause), 32)), ',')),
-        lambda leaf: leaf || CASE WHEN left(sha256(leaf), 1) IN ('0', '1', '2', '3') THEN '/' ELSE ';' END), ''), '[;/]$', '')"""
+            lambda line: array_to_string(list_transform(string_split(line, chr(1)), lambda clause: left(base64(unhex(left(sha256(clause), 32))), 22)), ',')),
+        lambda leaf: leaf || CASE WHEN left(sha256(leaf), 1) IN ('0', '1', '2', '3') THEN '#' ELSE ';' END), ''), '[;#]$', '')"""
 
 
 def _opened(branches: str, mark: str) -> str:
@@ -53,7 +53,7 @@ def _within(x: str, y: str) -> str:
 
 
 def _clauses(branches: str) -> str:
-    return f"coalesce(list_sum(list_transform({branches}, lambda x: (length(x) + 1) // 33)), 0)"
+    return f"coalesce(list_sum(list_transform({branches}, lambda x: (length(x) + 1) // 23)), 0)"
 
 
 def _common(x: str, y: str) -> str:
@@ -62,7 +62,7 @@ def _common(x: str, y: str) -> str:
 
 def _compared(source: str, step: str, a: str, b: str) -> str:
     """DuckDB CTEs that descend the trees a and b of source, as compared() does: {step}4 has its rows with shared and only_one."""
-    return f"""{step}1 AS (SELECT *, string_split({a}, '/') AS sa, string_split({b}, '/') AS sb FROM {source}),
+    return f"""{step}1 AS (SELECT *, string_split({a}, '#') AS sa, string_split({b}, '#') AS sb FROM {source}),
 {step}2 AS (SELECT *, {_within("sa", "sb")} AS same, list_distinct({_opened(_without("sa", "sb"), ";")}) AS pa, list_distinct({_opened(_without("sb", "sa"), ";")}) AS pb FROM {step}1),
 {step}3 AS (SELECT *, {_within("pa", "pb")} AS alike, list_distinct({_opened(_without("pa", "pb"), ",")}) AS la, list_distinct({_opened(_without("pb", "pa"), ",")}) AS lb FROM {step}2),
 {step}4 AS (SELECT *, len({_within("la", "lb")}) AS both_n FROM {step}3),

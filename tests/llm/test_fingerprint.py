@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -32,14 +33,14 @@ def tree(text):
                 leaves.append(clause[:-1])
                 clause = ""
         leaves.append(clause)
-        now.append(",".join(hashlib.sha256(c.encode()).hexdigest()[:32] for c in leaves))
+        now.append(",".join(base64.b64encode(hashlib.sha256(c.encode()).digest()[:16]).decode()[:22] for c in leaves))
         if hashlib.sha256(now[-1].encode()).hexdigest()[0] in "0123":
             sections.append(now)
             now = []
     if now:
         sections.append(now)
     hexed = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    return hexed("".join(hexed("".join(map(hexed, s))) for s in sections)) + "/" + "/".join(";".join(s) for s in sections)
+    return hexed("".join(hexed("".join(map(hexed, s))) for s in sections)) + "#" + "#".join(";".join(s) for s in sections)
 
 
 def test_roots_test_equality(spark):
@@ -54,7 +55,7 @@ def test_roots_test_equality(spark):
 
 def slow_likeness(a, b):
     """Shared clauses by sets, level by level."""
-    shared, x, y = 0, set(a[65:].split("/")), set(b[65:].split("/"))
+    shared, x, y = 0, set(a[65:].split("#")), set(b[65:].split("#"))
     for mark in (";", ","):
         shared += sum(len(s.replace(";", ",").split(",")) for s in x & y)
         x, y = {p for s in x - y for p in s.split(mark)}, {p for s in y - x for p in s.split(mark)}
