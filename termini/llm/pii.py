@@ -211,7 +211,8 @@ def find_pii(documents: DataFrame, generalise: float = GENERALISE, remove: float
     elsewhere = docs.where(F.size("spans") == 0).select("doc_id", F.xxhash64("text").alias("__pii_key"), F.explode(_terms(F.col("text"), F.col("spans"))).alias("word"))
     elsewhere = elsewhere.select("doc_id", "__pii_key", F.xxhash64("word").alias("term")).join(everywhere, "term").select(*inside.columns)
     others = held.join(everywhere, "term").join(seen.select("__pii_doc", "doc_id", "__pii_key"), "__pii_doc").select(*inside.columns)
-    return _verdicts(inside.unionByName(others)), _verdicts(elsewhere)
+    # stored, so that their size is known before a join is chosen: most often no text is shuffled
+    return stored(_verdicts(inside.unionByName(others)), "pii-inside"), stored(_verdicts(elsewhere), "pii-elsewhere")
 
 
 def with_spans(documents: DataFrame, **thresholds: float) -> DataFrame:
