@@ -31,7 +31,7 @@ from .chunks import chunks
 from .common import whole_text
 
 LIMIT = 1024
-KEPT, LONG, BLOCK = 600_000, 63, 512  # LONG characters have 252 tokens at most, so their counts fit in bytes
+KEPT, LONG, BLOCK = 800_000, 63, 512  # LONG characters have 252 tokens at most, so their counts fit in bytes
 # Fixed value: the public pre-tokenization pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 62
@@ -53,18 +53,19 @@ class PrefixCounter:
         letters = _byte_letters()
         plain = lambda token: bytes(letters[c] for c in token)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.vocab = {plain(t) for t in spec["model"]["vocab"] if t not in set(self.special)}
+        tokens = [plain(t) for t in spec["model"]["vocab"] if t not in set(self.special)]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(plain(a), plain(b)): k for k, (a, b) in enumerate(pairs)}
+        self.tokens = tokens
         self.ends = ahocorasick.Automaton()  # which tokens end at a place; bytes as the letters of the same numbers
-        for token in self.vocab:
-            self.ends.add_word(token.decode("latin-1"), token)
+        for number, token in enumerate(tokens):
+            self.ends.add_word(token.decode("latin-1"), (number, len(token)))
         self.ends.make_automaton()
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.edges: dict[bytes, tuple | None] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.edges: dict[int, tuple | None] = {}
+        self.pairs: dict[int, bool] = {}  # first token's number * tokens + second's
+        self.pieces: dict[str, bytes] = {}
         self.tables: dict[str, bytes] = {}
 
     @classmethod
@@ -73,11 +74,12 @@ class PrefixCounter:
             _counters[path] = cls(path)
         return _counters[path]
 
-    def _edge(self, token: bytes) -> tuple | None:
-        """The symbols at the left and the right edge while token is merged, each with the rank of the merge that ends it;
+    def _edge(self, number: int) -> tuple | None:
+        """The symbols at the left and the right edge while a token is merged, each with the rank of the merge that ends it;
         None if merging the token's bytes does not give the token."""
-        if token in self.edges:
-            return self.edges[token]
+        if number in self.edges:
+            return self.edges[number]
+        token = self.tokens[number]
         symbols, left, right = [token[i : i + 1] for i in range(len(token))], [], []
         while len(symbols) > 1:
             best, at = min((self.rank.get(p, NEVER), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
@@ -89,40 +91,46 @@ class PrefixCounter:
                 right.append((symbols[-1], best))
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         found = (left + [(token, NEVER)], right + [(token, NEVER)]) if symbols == [token] else None
-        self.edges[token] = found
+        self.edges[number] = found
         return found
 
-    def _may_follow(self, a: bytes, b: bytes) -> bool:
-        """Does a b encode as these two tokens? Of equal merges the left one comes first."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            rank = self.rank
-            known = True
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Do the tokens a and b, side by side, encode as these two? Of equal merges the left one comes first."""
+        right = self._edge(b)
+        known = right is not None
+        if known:
             for x, x_end in self._edge(a)[1]:
-                for y, y_end in self._edge(b)[0]:
-                    r = rank.get((x, y), NEVER)
+                for y, y_end in right[0]:
+                    r = self.rank.get((x, y), NEVER)
                     if r < x_end and r <= y_end and r != NEVER:
                         known = False
-            if len(self.pairs) > 4 * KEPT:
-                self.pairs.clear()
-            self.pairs[a, b] = known
+        if len(self.pairs) > 4 * KEPT:
+            self.pairs.clear()
+        self.pairs[a * len(self.tokens) + b] = known
         return known
 
     def piece_counts(self, piece: bytes) -> list[int]:
         """The token count of every prefix (in bytes) of one pre-token, the empty one first."""
-        count, last = [0] * (len(piece) + 1), [b""] * (len(piece) + 1)
-        for at, token in self.ends.iter(piece.decode("latin-1")):
+        count, last = [0] * (len(piece) + 1), [-1] * (len(piece) + 1)
+        pairs, size = self.pairs, len(self.tokens)
+        for at, (token, length) in self.ends.iter(piece.decode("latin-1")):
             end = at + 1
-            if last[end]:
+            if last[end] >= 0:
                 continue  # the last token is known; there is only one
-            start = end - len(token)
-            if self._edge(token) and (start == 0 or (last[start] and self._may_follow(last[start], token))):
-                count[end], last[end] = count[start] + 1, token
-        if not all(last[1:]):
+            start = end - length
+            if start:
+                a = last[start]
+                ok = pairs.get(a * size + token)
+                if not (self._may_follow(a, token) if ok is None else ok):
+                    continue
+            elif not self._edge(token):
+                continue
+            count[end], last[end] = count[start] + 1, token
+        if -1 in last[1:]:
             raise ValueError(f"no token ends at a byte of {piece[:80]!r}")
         return count
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes | list[int]:
         """The token count of every prefix (in characters) of one pre-token, the empty one left out."""
         known = self.pieces.get(piece)
         if known is None:
@@ -130,7 +138,8 @@ class PrefixCounter:
             counts = self.piece_counts(data)
             known = counts[1:] if len(data) == len(piece) else [counts[k] for k in np.cumsum([len(c.encode()) for c in piece]).tolist()]
             if len(piece) <= LONG:
-                if len(self.pieces) >= KEPT // 2:
+                known = bytes(known)
+                if len(self.pieces) >= KEPT:
                     self.pieces.clear()
                 self.pieces[piece] = known
         return known
@@ -142,19 +151,23 @@ class PrefixCounter:
         run, run_base = "", 0  # the white space just before, and the count before it
         for piece in self.split.findall(part):
             counts = self._piece(piece)
-            white = len(piece) - len(piece.lstrip())
-            if white:  # white space at a prefix's end is one pre-token with all white space before it
+            first = piece[0]
+            white = 0
+            if first.isspace():  # white space at a prefix's end is one pre-token with all white space before it
+                white = len(piece) - len(piece.lstrip())
                 if not run:
                     run_base = base
                 run += piece[:white]
                 out += [run_base + n for n in self._piece(run)[len(run) - white :]]
             if white < len(piece):
                 run = ""
-                if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # a contraction, not whole before its end
+                if first == "'" and len(piece) > 1 and piece[1].isalpha():  # a contraction, not whole before its end
                     out += [base + sum(self._piece(x)[-1] for x in self.split.findall(piece[:k])) for k in range(1, len(piece))]
                     out.append(base + counts[-1])
-                else:
+                elif base:
                     out += [base + n for n in counts[white:]]
+                else:
+                    out += counts[white:]
             base += counts[-1]
         return out
 
@@ -187,8 +200,9 @@ class PrefixCounter:
     def prefix_table(self, text: str) -> np.ndarray:
         """table[i] is the exact token count of text[:i], for every i from 0 to len(text)."""
         parts = chunks(text)
-        if all(len(p) <= LONG for p in parts):
-            found = [self._table(p) for p in parts]
+        if not parts or max(map(len, parts)) <= LONG:
+            tables = self.tables
+            found = [tables.get(p) or self._table(p) for p in parts]
             inside = np.frombuffer(b"".join(found), "u1")
             totals, sizes = [x[-1] for x in found], list(map(len, found))
         else:
