@@ -34,6 +34,7 @@ from .common import clear, fresh_path, made, same, stored, whole_text
 WORDS, D, FAN, HOT, SEED = 4, 4, 8, 4096, 42
 PAIR_COST = 1 / 32  # of a pair under one key, whole groups of which are pruned, against a row dealt to its key
 FLUSH, FRONTIER = 100_000, 400_000
+SMALL = 1_000_000  # rows of two numbers: 16 MB sent, some 60 MB as a hash table
 
 
 def _majorities(hashes: list[int], ends: list[int]) -> np.ndarray:
@@ -301,8 +302,10 @@ def deduplicated(documents: DataFrame, words: int = WORDS, most: int = D) -> Dat
     keep = stored(rows.groupBy("root").agg(first), "kept")
     chosen = same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     marked = rows.join(keep, "root").withColumn("chosen", chosen)
-    # the rows to drop: copies are fewer than documents, so their keys are what Spark may find small enough to broadcast
+    # the rows to drop: copies are fewer than documents
     drop = stored(marked.where(~F.col("chosen")).select(F.col("doc_id").alias("__drop"), F.col("text_hash").alias("__text")).distinct(), "dropped")
+    if drop.count() <= SMALL:  # checked before it is broadcast; else an ordinary join, which shuffles the texts once
+        drop = F.broadcast(drop)
     key = F.xxhash64(whole_text())
     kept = documents.join(drop, same(F.col("doc_id"), F.col("__drop")) & (key == F.col("__text")), "left_anti")
     if marked.where("chosen").groupBy("root").count().where("count > 1").limit(1).count():  # the chosen row itself is repeated

@@ -61,3 +61,16 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Session())
+
+
+def test_rows_to_drop_beyond_the_broadcast_bound(spark, monkeypatch):
+    words = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcde"]
+    rows = [(k, words[k % 5], "x") for k in range(40)] + [(None, words[0], "x"), (0, words[0], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __source string")
+    kept = sorted(r.doc_id for r in simhash.deduplicated(df).collect())
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == kept == [0, 1, 2, 3, 4]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
