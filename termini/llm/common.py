@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to ask for
+    _libc = None
 _made: list[str] = []
 _marked: set[str] = set()
 
@@ -116,3 +122,10 @@ def chained(keys: DataFrame, order: list[str], carry: str | None = None) -> Data
 
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker no longer uses to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)

@@ -28,13 +28,12 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, whole_text
+from .common import fresh_path, give_back, whole_text
 
 SEEDS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 9, 10))
 PASSAGE, SHARE, FEWEST = 13, 0.8, 5
@@ -49,7 +48,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxh64_intdigest(word.encode())
         return value
@@ -226,13 +225,14 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _free_of(sent: Broadcast) -> Callable[..., Column]:
     """A predicate on texts: no overlap with the block of items."""
 
-    @F.pandas_udf("boolean")
-    def free(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def free(texts: pa.Array) -> pa.Array:
         ok = np.ones(len(texts), bool)
-        whole = [t or "" for t in texts.tolist()]
-        for at in range(0, len(whole), 256):
-            ok[[at + f[0] for f in sent.value.overlaps(whole[at : at + 256])]] = False
-        return pd.Series(ok)
+        for at in range(0, len(texts), 256):
+            some = [t or "" for t in texts.slice(at, 256).to_pylist()]
+            ok[[at + f[0] for f in sent.value.overlaps(some)]] = False
+        give_back()
+        return pa.array(ok)
 
     return free
 

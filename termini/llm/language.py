@@ -15,16 +15,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import give_back, whole_text
 
 UNKNOWN = "und"
-HIDDEN, READ_BYTES, BLOCK_BYTES = 8, 256, 2_000_000
+HIDDEN, READ_BYTES, BLOCK_BYTES = 8, 256, 1_000_000
 SAMPLE, WINDOWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, SEED = 150, 4, 64, 4, 64, 0.02, 7
 LEAST_SCORE = 0.5
 
@@ -245,12 +244,13 @@ def accepted(documents: DataFrame, network: Network | None, least: float = LEAST
         return documents.where(_has_letter(F.col("text")))
     sent = documents.sparkSession.sparkContext.broadcast(network)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        whole, out = texts.tolist(), []
-        for at in range(0, len(whole), 1024):
-            out += _read(sent, whole[at : at + 1024], wanted.iloc[at : at + 1024].tolist())[1]
-        return pd.Series(out, dtype="f8")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        out: list[float] = []
+        for at in range(0, len(texts), 1024):
+            out += _read(sent, texts.slice(at, 1024).to_pylist(), wanted.slice(at, 1024).to_pylist())[1]
+        give_back()
+        return pa.array(out, pa.float64())
 
     return documents.where(_has_letter(F.col("text")) & (score(whole_text(), _has_letter(F.col("text"))) >= least))
 

@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import whole_text
+from .common import give_back, whole_text
 
 MARK = "▁"
-KEPT, LONG, BLOCK, ROWS = 400_000, 64, 512, 4096  # KEPT: words in each of a worker's two generations, 50 MB each
+KEPT, LONG, BLOCK, ROWS = 200_000, 64, 512, 4096  # KEPT: words in each of a worker's two generations, 40 MB each
 PAIRS, NEW = 2_000_000, 16_384  # verdicts kept in a worker, 9 bytes each; of them, in a dict until they are sorted in
 FACTOR = 0x9E3779B97F4A7C15
 NONE = -1
@@ -304,6 +304,7 @@ def encoded(documents: DataFrame, model_path: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
                 values = np.concatenate([*ids, np.zeros(0, "<u4")]).astype("i4")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([model.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        give_back()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", whole_text().alias("text")).mapInArrow(rows, f"doc_id {kind}, ids array<int>, decoded string")

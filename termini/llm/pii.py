@@ -109,9 +109,14 @@ def _blanked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, out).otherwise(text)
 
 
+def _words(text: Column, spans: Column) -> Column:
+    """The terms of text beside its base spans, in lower case, as often as they stand there."""
+    return F.regexp_extract_all(F.lower(_blanked(text, spans)), F.lit(TERM), F.lit(0))
+
+
 def _terms(text: Column, spans: Column) -> Column:
-    """The distinct terms of text beside its base spans, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(_blanked(text, spans)), F.lit(TERM), F.lit(0)))
+    """The distinct terms of text (hashes)."""
+    return F.array_distinct(F.transform(_words(text, spans), lambda w: F.xxhash64(w)))
 
 
 def _term_spans(text: Column, spans: Column, verdicts: Column) -> Column:
@@ -176,15 +181,14 @@ def find_pii(documents: DataFrame, generalise: float = GENERALISE, remove: float
     none = F.array().cast(SPAN)
     docs = docs.withColumn("spans", F.when(F.col("text").rlike("[@0-9]"), base_spans(F.col("text"))).otherwise(none))
     # __pii_doc numbers the rows with an entity; it is stored, so it stays what it is
-    seen = docs.where(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("__pii_doc"), "doc_id", F.xxhash64("text").alias("__pii_key"), _entities(F.col("spans")).alias("entities"), _terms(F.col("text"), F.col("spans")).alias("words"))
+    seen = docs.where(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("__pii_doc"), "doc_id", F.xxhash64("text").alias("__pii_key"), _entities(F.col("spans")).alias("entities"), F.array_distinct(_words(F.col("text"), F.col("spans"))).alias("words"))
     seen = stored(seen, "pii-seen")
 
     n = F.lit(float(max(total, 1)))
     # n(t,c) is at most n(c), so a term of more documents than this cannot reach the threshold: no verdict changes
     most = lambda n_entity: n * F.pow(n_entity / n, F.lit(float(generalise))) * (1 + 1e-9)
     entity = stored(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") < n), "pii-entities")
-    all_words = docs.select(F.explode(_terms(F.col("text"), F.col("spans"))).alias("word"))
-    term = all_words.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("n_term"))
+    term = docs.select(F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     held = seen.select("__pii_doc", F.explode("words").alias("word")).withColumn("term", F.xxhash64("word")).join(term, "term")
     held = stored(held, "pii-terms")
     named = stored(seen.select("__pii_doc", F.explode("entities").alias("entity")).join(entity, "entity"), "pii-named")
@@ -208,8 +212,8 @@ def find_pii(documents: DataFrame, generalise: float = GENERALISE, remove: float
 
     everywhere = rules.where(F.col("elsewhere") >= remove).groupBy("term").agg(F.lit(False).alias("remove"), F.max("broader").alias("broader"))
     everywhere = stored(everywhere, "pii-everywhere")
-    elsewhere = docs.where(F.size("spans") == 0).select("doc_id", F.xxhash64("text").alias("__pii_key"), F.explode(_terms(F.col("text"), F.col("spans"))).alias("word"))
-    elsewhere = elsewhere.select("doc_id", "__pii_key", F.xxhash64("word").alias("term")).join(everywhere, "term").select(*inside.columns)
+    elsewhere = docs.where(F.size("spans") == 0).select("doc_id", F.xxhash64("text").alias("__pii_key"), F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
+    elsewhere = elsewhere.join(everywhere, "term").select(*inside.columns)
     others = held.join(everywhere, "term").join(seen.select("__pii_doc", "doc_id", "__pii_key"), "__pii_doc").select(*inside.columns)
     # stored, so that their size is known before a join is chosen: most often no text is shuffled
     return stored(_verdicts(inside.unionByName(others)), "pii-inside"), stored(_verdicts(elsewhere), "pii-elsewhere")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear, fresh_path, made, same, stored, whole_text
+from .common import clear, fresh_path, give_back, made, same, stored, whole_text
 
 WORDS, D, FAN, HOT, SEED = 4, 4, 8, 4096, 42
 PAIR_COST = 1 / 32  # of a pair under one key, whole groups of which are pruned, against a row dealt to its key
@@ -82,6 +82,7 @@ def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
                 batch = whole.slice(at, 512)
                 fp = fingerprints_of(batch.column("text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view("i8"))], ["doc_id", "text_hash", "fp"])
+        give_back()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_hash")).mapInArrow(hashed, f"doc_id {kind}, text_hash long, fp long")
