@@ -294,3 +294,18 @@ def test_decontamination_of_items_under_five_words(spark):
     df = spark.createDataFrame([(1, "前。今日は天気がいいです。明日は雨です。後"), (2, "a short, ITEM here"), (3, "short of an item"), (4, "今日は天気がいいです。"), (5, "?!")], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.op10(df, bench).collect()) == [(1, 1), (2, 2)]
     assert sorted(r.doc_id for r in decontaminate.decontaminated(df, bench).collect()) == [3, 4, 5]
+
+
+def test_language_of_held_out_documents(spark):
+    """Whole texts of a whole table: those whose fold was not learnt from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: r.lang for r in docs.where("lang is not null").select("doc_id", "lang").collect()}
+    rows = [r for r in language.op5(docs).collect() if r.held_out and r.doc_id in want and r.lang_pred != "und"]
+    assert len(rows) > 200 and sum(r.lang_pred == want[r.doc_id] for r in rows) >= 0.97 * len(rows)
+
+
+def test_language_without_labels_keeps_texts_with_letters(spark):
+    df = spark.createDataFrame([(1, "words", None, "x"), (2, "123", None, "x"), (3, None, None, "x"), (None, "é", None, "x")], "doc_id long, text string, lang string, score string")
+    kept = language.accepted(df, language.trained(df))
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+    assert {r.lang_pred for r in language.op5(df).collect()} == {"und"}
