@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from .common import give_back, whole_text
 
 MARK = "▁"
-KEPT, LONG, BLOCK, ROWS = 200_000, 64, 512, 4096  # KEPT: words in each of a worker's two generations, 40 MB each
+KEPT, LONG, BLOCK, ROWS = 800_000, 64, 512, 4096  # KEPT: words in each of a worker's two generations, 160 MB each at most
+KEPT_BESIDE_OTHERS = 200_000  # where a worker also holds what other operators keep
 PAIRS, NEW = 2_000_000, 16_384  # verdicts kept in a worker, 9 bytes each; of them, in a dict until they are sorted in
 FACTOR = 0x9E3779B97F4A7C15
 NONE = -1
@@ -90,9 +91,10 @@ class Pieces:
         return self
 
     @classmethod
-    def at(cls, path: str) -> "Pieces":
+    def at(cls, path: str, kept: int = KEPT) -> "Pieces":
         if path not in _models:
             _models[path] = cls(path)
+        _models[path].kept = kept
         return _models[path]
 
     def _setup(self, pieces: list[tuple[str, float, int]], unigram: bool, prefix: bool) -> None:
@@ -116,6 +118,7 @@ class Pieces:
         self.inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.pair, self.verdict = np.zeros(0, "i8"), np.zeros(0, bool)  # by pair
         self.new: dict[int, bool] = {}
+        self.kept = KEPT
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -270,7 +273,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text."""
         split = [self.split(t) for t in texts]
-        if len(self.words) > KEPT:  # words that do not come again are forgotten
+        if len(self.words) > self.kept:  # words that do not come again are forgotten
             self.older, self.words = self.words, {}
         fresh = set().union(*split).difference(self.words)
         again = fresh.intersection(self.older)
@@ -292,11 +295,11 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def encoded(documents: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids (array) and decoded (the text read back from the ids) of each row."""
+def encoded(documents: DataFrame, model_path: str, kept: int = KEPT_BESIDE_OTHERS) -> DataFrame:
+    """doc_id, ids (array) and decoded (the text read back from the ids) of each row. A worker keeps the ids of `kept` words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Pieces.at(model_path)
+        model = Pieces.at(model_path, kept)
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
