@@ -41,7 +41,7 @@ MAGIC, HEADER, FOOTER = b"TIDS", 4 + 1 + 32, 8 + 8 + 4
 END_ID = 2
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 512, 16_384, 65_536, 3
 KEPT, LONG = 1_500_000, 64  # encodings kept in a worker; longer parts are not kept
-BLOCK = 512  # documents encoded at a time
+BLOCK, LOT = 512, 16_384  # documents encoded at a time, characters of new parts in one text
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -56,6 +56,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), "i8")  # the bytes that each id spells
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[number] = len(token)  # byte-level: a letter for each byte
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.sizes[number] = len(token.content.encode())
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -66,18 +71,45 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [chunks(text) for text in texts]
-        fresh = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(fresh) > KEPT:
+        found = [list(map(self.known.get, x)) for x in parts]
+        gaps = [not all(x) for x in found]  # a part has one id at least
+        fresh = list({p for x, y, gap in zip(parts, found, gaps, strict=True) if gap for p, ids in zip(x, y, strict=True) if ids is None})
+        learnt = self._ids(fresh)
+        out = [b"".join([ids or learnt[p] for p, ids in zip(x, y, strict=True)] if gap else y) for x, y, gap in zip(parts, found, gaps, strict=True)]
+        if len(self.known) + len(learnt) > KEPT:
             self.known.clear()
-            fresh = list(set().union(*parts))
-        for part, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(found.ids, self.kind).tobytes()
-        out = [b"".join(map(self.known.__getitem__, x)) for x in parts]
+        self.known.update(learnt)
         for part in fresh:
             if len(part) > LONG:
                 del self.known[part]
         return out
 
+    def _ids(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of each part. Parts that chunks() would cut from one text are encoded as one text, whose ids fall to the
+        parts by the bytes that they spell; should these not meet the parts' ends, each part is encoded alone."""
+        out: dict[str, bytes] = {}
+        lots, lot, size = [], [], 0
+        for part in parts:
+            if part[0] in " \n" and not part[-1].isspace():
+                lot.append(part)
+                size += len(part)
+                if size > LOT:
+                    lots.append(lot)
+                    lot, size = [], 0
+        lots.append(lot)
+        for lot, found in zip(lots, self.tokenizer.encode_batch_fast(list(map("".join, lots)), add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in lot], dtype="i8")
+            reached = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(reached, ends)
+            if len(ids) and reached[-1] == ends[-1] and (reached[last] == ends).all():
+                data, cuts = ids.tobytes(), [0, *((last + 1) * self.kind.itemsize).tolist()]
+                out.update(zip(lot, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        rest = [p for p in parts if p not in out]
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[part] = np.array(found.ids, self.kind).tobytes()
+        return out
+
 
 def train_dictionary(documents: DataFrame, path: str) -> bytes:
     """A dictionary from about SAMPLE_DOCS documents, chosen by hash; of a text over SAMPLE_CHARS a piece of that length from

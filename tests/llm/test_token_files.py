@@ -47,3 +47,21 @@ def test_the_dictionary_is_trained_on_pieces_of_long_texts_too(spark):
     rows = [(k, " ".join(draw.choice(words, 8000).tolist())) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert min(len(t) for _, t in rows) > T.SAMPLE_CHARS and T.train_dictionary(df, PATH)
+
+
+def test_joined_parts_encode_as_whole_texts():
+    lib = Tokenizer.from_file(PATH)
+    encoder = T.Encoder(PATH)
+    odd = ["", " ", "a", " a b", "x<|endoftext|>y", " <|endoftext|>", "a  b\n\n c", "a\tb 　c", "\0 a", "tail ", "中文 été", "it's 'll", " a   b", "\n", " \n a\r\n b", "w" * 300 + " " + "w" * 300]
+    draw = np.random.default_rng(1)
+    bits = [" ", "\n", "\t", "\r", " ", "a", "Z9", "'s", "中", "\U0001f600", "<|endoftext|>", "<|endof", ".", "\0"]
+    texts = odd + ["".join(draw.choice(bits, 30).tolist()) for _ in range(2000)]
+    for _ in range(2):  # new parts, then known ones
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, encoder.kind).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_parts_whose_bytes_do_not_meet_are_encoded_alone():
+    lib, encoder = Tokenizer.from_file(PATH), T.Encoder(PATH)
+    encoder.sizes[:] = 3
+    assert np.frombuffer(encoder.encode(["one two three"])[0], encoder.kind).tolist() == lib.encode("one two three", add_special_tokens=False).ids
