@@ -31,6 +31,19 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has; Spark's names have no case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
     """Spark's own file system for a path, and the path as it takes it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

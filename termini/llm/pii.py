@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, stored, whole_text
+from .common import column, same, stored, unused, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 TAGS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -250,13 +250,14 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def sanitise(documents: DataFrame, **thresholds: float) -> DataFrame:
     """documents with personal data and disclosing terms replaced in text; n_chars, where there, follows. A null text stays
-    null, and a document without a span stays as it is."""
-    rows = with_spans(documents, **thresholds)
+    null, and a document without a span stays as it is. Extra columns may have any names."""
+    aside = {c: unused(documents, f"__aside_{k}") for k, c in enumerate(documents.columns) if c.lower().startswith("__pii")}
+    rows = with_spans(documents.withColumnsRenamed(aside), **thresholds)
     changed = F.size("__pii_spans") > 0
     out = rows.withColumn("text", F.when(changed, redacted(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    return out.select(*[column(aside.get(c, c)).alias(c) for c in documents.columns])
 
 
 def op1(documents: DataFrame) -> DataFrame:

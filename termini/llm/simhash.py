@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear, fresh_path, give_back, made, same, stored, whole_text
+from .common import clear, fresh_path, give_back, made, same, stored, unused, whole_text
 
 WORDS, D, FAN, HOT, SEED = 4, 4, 8, 4096, 42
 PAIR_COST = 1 / 32  # of a pair under one key, whole groups of which are pruned, against a row dealt to its key
@@ -303,12 +303,13 @@ def deduplicated(documents: DataFrame, words: int = WORDS, most: int = D) -> Dat
     keep = stored(rows.groupBy("root").agg(first), "kept")
     chosen = same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     marked = rows.join(keep, "root").withColumn("chosen", chosen)
+    gone, text = unused(documents, "__drop"), unused(documents, "__text")
     # the rows to drop: copies are fewer than documents
-    drop = stored(marked.where(~F.col("chosen")).select(F.col("doc_id").alias("__drop"), F.col("text_hash").alias("__text")).distinct(), "dropped")
+    drop = stored(marked.where(~F.col("chosen")).select(F.col("doc_id").alias(gone), F.col("text_hash").alias(text)).distinct(), "dropped")
     if drop.count() <= SMALL:  # checked before it is broadcast; else an ordinary join, which shuffles the texts once
         drop = F.broadcast(drop)
     key = F.xxhash64(whole_text())
-    kept = documents.join(drop, same(F.col("doc_id"), F.col("__drop")) & (key == F.col("__text")), "left_anti")
+    kept = documents.join(drop, same(F.col("doc_id"), F.col(gone)) & (key == F.col(text)), "left_anti")
     if marked.where("chosen").groupBy("root").count().where("count > 1").limit(1).count():  # the chosen row itself is repeated
-        kept = kept.withColumn("__text", key).dropDuplicates(["doc_id", "__text"]).drop("__text")
+        kept = kept.withColumn(text, key).dropDuplicates(["doc_id", text]).drop(text)
     return kept

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from termini.llm import chat, decontaminate, fingerprint, html_text, language, pieces, pii, simhash, token_counts, token_files
@@ -309,3 +310,16 @@ def test_language_without_labels_keeps_texts_with_letters(spark):
     kept = language.accepted(df, language.trained(df))
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
     assert {r.lang_pred for r in language.op5(df).collect()} == {"und"}
+
+
+def test_stages_keep_extra_columns_of_any_name(spark):
+    names = ["__drop", "__TEXT", "_drop", "__pii_base", "__pii_spans", "__PII_key", "__aside_2", "a.b", "c`d", "root", "text_hash", "spans", "score"]
+    body = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, body), (2, body), (2, body), (3, "write to a.person@example.org about it"), (None, None), (4, "")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = plain.select("*", *[F.lit(n).alias(n) for n in names])
+    for stage in (simhash.deduplicated, pii.sanitise, lambda d: decontaminate.decontaminated(d, spark.createDataFrame([(1, body)], "item_id long, text string")), lambda d: language.accepted(d, None)):
+        out = stage(extra)
+        found = [tuple(r) for r in out.collect()]
+        assert out.columns == extra.columns and all(r[2:] == tuple(names) for r in found)
+        assert sorted((r[:2] for r in found), key=str) == sorted(map(tuple, stage(plain).collect()), key=str)
