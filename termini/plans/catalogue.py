@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import motifs as M
-from ..model import decay
+from ..model import decay, figures
 from ..operators import classify as K
 from ..operators import extend as X
 from ..operators import stats as S
@@ -457,14 +457,28 @@ def cdf_sql(x: str) -> str:
     return f"(SELECT 0.5 + z * list_reduce({steps}, lambda acc, k: 1.0 + z * z / k * acc) * exp(-z * z / 2.0) / sqrt(2.0 * pi()) FROM (SELECT least(greatest({x}, -{decay.FAR}), {decay.FAR})::DOUBLE AS z))"
 
 
-def survival_sql(t: str) -> str:
-    return f"CASE WHEN {t} <= 0 THEN 1.0 ELSE {cdf_sql(f'({LENGTHS.mu!r}::DOUBLE - ln({t})) / {LENGTHS.sigma!r}::DOUBLE')} END"
+def survival_sql(t: str, lengths: decay.Lognormal = LENGTHS) -> str:
+    return f"CASE WHEN {t} <= 0 THEN 1.0 ELSE {cdf_sql(f'({lengths.mu!r}::DOUBLE - ln({t})) / {lengths.sigma!r}::DOUBLE')} END"
+
+
+def partial_sql(t: str, lengths: decay.Lognormal = LENGTHS) -> str:
+    return f"{lengths.mean!r} * {cdf_sql(f'({lengths.mu!r}::DOUBLE + {lengths.sigma!r}::DOUBLE ** 2 - ln({t})) / {lengths.sigma!r}::DOUBLE')}"
+
+
+def family_sql(panel: str, series: str, lengths: decay.Lognormal | decay.Fixed, cutoff: float, share: float) -> str:
+    """One curve of decay_families over p (x, a = x + 1)."""
+    kept, part = lengths.survival(cutoff), lengths.partial(cutoff)
+    if isinstance(lengths, decay.Fixed):
+        inside = f"least(a, {lengths.length!r}::DOUBLE)"
+    else:
+        inside = f"({part!r}::DOUBLE - {partial_sql('a', lengths)} + a * {survival_sql('a', lengths)}) / {kept!r}::DOUBLE"
+    return f"SELECT '{panel}' AS panel, '{series}' AS series, x, round({share!r}::DOUBLE * CASE WHEN a <= {cutoff!r} THEN a ELSE {inside} END / ({part / kept!r}::DOUBLE), 8) AS y FROM p"
 
 
 @query(
     "decay_lognormal",
     f"""WITH p AS (SELECT x, x + 1.0::DOUBLE AS a FROM generate_series(0::BIGINT, 9999::BIGINT) t(x)),
-    q AS (SELECT x, a, {survival_sql("a")} AS s, {LENGTHS.mean!r} * {cdf_sql(f"({LENGTHS.mu!r}::DOUBLE + {LENGTHS.sigma!r}::DOUBLE ** 2 - ln(a)) / {LENGTHS.sigma!r}::DOUBLE")} AS e FROM p)
+    q AS (SELECT x, a, {survival_sql("a")} AS s, {partial_sql("a")} AS e FROM p)
     SELECT x, round(CASE WHEN a <= {CUTOFF} THEN a ELSE ({LENGTHS.partial(CUTOFF)!r}::DOUBLE - e + a * s) / {KEPT!r}::DOUBLE END / ({LENGTHS.partial(CUTOFF)!r}::DOUBLE / {KEPT!r}::DOUBLE), 8) AS c FROM q""",
 )
 def _(s: SparkSession, d: str) -> DataFrame:
@@ -483,6 +497,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return decay.quadrature_coverage(s.range(10_000).withColumnRenamed("id", "x"), LENGTHS, CUTOFF, NODES).select("x", F.round("c", 8).alias("c"))
 
 
+FAMILIES = [(panel, f"cutoff {c:g}", figures.LIBRARY, c, figures.retained(figures.LIBRARY, c) if panel == "b" else 1.0) for panel in "ab" for c in figures.CUTOFFS]
+FAMILIES += [("c", name, lengths, figures.CUTOFF, 1.0) for name, lengths in figures.OTHERS.items()]
+
+
+@query(
+    "decay_families",
+    f"WITH p AS (SELECT k * {figures.FAR!r}::DOUBLE / {figures.POINTS - 1} AS x, x + 1.0::DOUBLE AS a FROM generate_series(0::BIGINT, {figures.POINTS - 1}::BIGINT) n(k)) " + " UNION ALL ".join(family_sql(*f) for f in FAMILIES),
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return figures.decay_families(s).withColumn("y", F.round("y", 8))
+
+
 @query("decay_simulated")
 def _(s: SparkSession, d: str) -> DataFrame:
     return decay.simulated(s, 1_000_000, 30.0, decay.Lognormal(8000.0, 4000.0), 10_000, 2500.0, seed=7)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termini.functions import cigar as C
 from termini.functions import motifs as M
-from termini.model import decay
+from termini.model import decay, figures
 from termini.operators import classify as K
 from termini.operators import extend as X
 from termini.operators import stats as S
@@ -217,3 +217,15 @@ def test_run_counters_sum_up(spark):
         gone = sum(r[f"excluded_{b}"] for b in K.BUCKETS) + r.excluded_motifs
         assert r.processed == rows.count() + 3 and r.removed == gone and r.processed == r.output + r.removed and r.excluded_malformed >= 3
         assert r.motif == (r.output if patterns else None)
+
+
+def test_curves_of_the_figures(spark):
+    rows = figures.decay_families(spark, points=71).collect()
+    at = {(r.panel, r.series, round(r.x)): r.y for r in rows}
+    assert len(rows) == len(at) == 71 * 11
+    for c in figures.CUTOFFS:  # panel b is panel a times the share of bases kept
+        share = figures.retained(figures.LIBRARY, c)
+        assert 0 < share <= 1 and at["b", f"cutoff {c:g}", 9000] == pytest.approx(share * at["a", f"cutoff {c:g}", 9000])
+    assert at["c", "fixed 15 Kbp", 7499 + 1] == pytest.approx(7501 / 15_000) and at["c", "fixed 15 Kbp", 20_000] == 1.0
+    band = figures.decay_band(spark, reps=4, molecule=200_000, window=300).collect()
+    assert len(band) == 300 and all(r.lo <= r.mean <= r.hi for r in band)
